@@ -54,9 +54,8 @@ def skewed(spark):
     pdf = pd.DataFrame(
         out, columns=["team_id", "match_id", "scheduled_at", "is_road", "pts", "poss", "win"]
     )
-    pdf["poss"] = pdf["poss"].astype(object).where(pdf["poss"].notna(), None)
     df = spark.createDataFrame(
-        [tuple(None if pd.isna(v) else v for v in r) for r in pdf.itertuples(index=False)],
+        out,
         "team_id long, match_id long, scheduled_at timestamp, is_road boolean, pts double, poss double, win double",
     )
     pdf["poss"] = pdf["poss"].astype(float)

@@ -59,7 +59,8 @@ def skewed(spark):
         "team_id long, match_id long, scheduled_at timestamp, is_road boolean, pts double, poss double, win double",
     )
     pdf["poss"] = pdf["poss"].astype(float)
-    return df, pdf.sort_values(["team_id", "scheduled_at", "match_id"]).reset_index(drop=True)
+    ordered = pdf.sort_values(["team_id", "scheduled_at", "match_id"]).reset_index(drop=True)
+    return df, expected(ordered)
 
 
 def expected(pdf):
@@ -105,22 +106,22 @@ def compare(actual: pd.DataFrame, wanted: pd.DataFrame, columns: dict[str, str])
 @pytest.mark.parametrize("limits", [PLAIN, HOT, HOT_WIDE_CELLS], ids=["plain", "hot", "hot_wide"])
 @pytest.mark.parametrize("small_blocks", [False, True])
 def test_rolling_matches_pandas(skewed, monkeypatch, limits, small_blocks):
-    df, pdf = skewed
+    df, wanted = skewed
     if small_blocks:
         monkeypatch.setattr(rolling, "_block_shape", lambda windows, span: (120, 100))
     tl = timeline(df, limits=limits)
     assert tl.hot == (limits is not PLAIN)
     out = finish(lagged_means(tl, ["pts", "poss"], [3], 5)).toPandas()
     cols = {f"{c}_{e}": f"{c}_{e}" for c in ("pts", "poss") for e in ("L3", "EMA5")}
-    compare(out, expected(pdf)[["team_id", "match_id", *cols]], cols)
+    compare(out, wanted[["team_id", "match_id", *cols]], cols)
 
 
 @pytest.mark.parametrize("limits", [PLAIN, HOT, HOT_WIDE_CELLS], ids=["plain", "hot", "hot_wide"])
 def test_schedule_and_venue_match_loops(skewed, limits):
-    df, pdf = skewed
+    df, wanted = skewed
     tl = schedule.schedule_load(timeline(df, limits=limits))
     tl = venue_gap(tl, "win", "form_gap")
-    wanted = expected(pdf)[["team_id", "match_id", "rest", "b2b", "short", "long", "streak", "form"]]
+    wanted = wanted[["team_id", "match_id", "rest", "b2b", "short", "long", "streak", "form"]]
     compare(
         finish(tl).toPandas(),
         wanted,

@@ -8,6 +8,7 @@ from functools import lru_cache, reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---------------------------------------------------------------------------
 # Matching results depend on these being exactly as written.
@@ -62,7 +63,7 @@ def _accent_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatibility_form(names: pd.Series) -> pd.Series:
     return names.str.normalize("NFKD")
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.functions.text import token_similarity, tokens
+from tipoff.session import staged
 
 # Fixed values of the two matchers.
 LISTING_THRESHOLD = 0.40
@@ -97,7 +98,10 @@ def best_candidates(
     ``undated_match`` lets candidates without a date match any day. Returns row_id, cand_id,
     score.
     """
-    sims = similar_names(_distinct_names(rows), _distinct_names(candidates), at_least)
+    # read four times below
+    sims = staged(
+        similar_names(_distinct_names(rows), _distinct_names(candidates), at_least), "similar-names"
+    )
     dated = candidates.where(F.col("date").isNotNull()).withColumnRenamed("date", "day")
     found = _search(_near(rows, window), dated, ["league", "day"], sims)
     if undated_match:
@@ -170,7 +174,7 @@ def closest_hints(
 
     A row whose candidates all score 0 gets the first candidate of its days, as a hint only.
     """
-    open_rows = rows.join(links.select("row_id"), "row_id", "left_anti")
+    open_rows = staged(rows.join(links.select("row_id"), "row_id", "left_anti"), "open-rows")
     best = best_candidates(open_rows, candidates, 0.0, window)
     first = candidates.groupBy("league", F.col("date").alias("day")).agg(F.min("cand_id").alias("c"))
     any_day = (

@@ -118,7 +118,7 @@ def _possession_rows(d):
         "FROM periods WHERE period_type = 'QUARTER' GROUP BY match_id",
         numbered=f"""
         SELECT a.*, CASE WHEN a.is_road THEN s.ap ELSE s.hp END AS poss,
-               row_number() OVER ({W}) % 1500 AS rn
+               row_number() OVER ({W}) AS rn
         FROM appearances a LEFT JOIN sums s USING (match_id)
         """.replace("PARTITION BY team_id ORDER BY scheduled_at, match_id",
                     "PARTITION BY a.team_id ORDER BY a.scheduled_at, a.match_id"),

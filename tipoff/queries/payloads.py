@@ -359,8 +359,8 @@ def metric_lookup(d):
     return rows.select(
         "match_id",
         number.cast("bigint").alias("block"),
-        payloads.metric(F.col("b"), "field goals", "home").alias("home_fg"),
-        payloads.metric(F.col("b"), "turnovers", "away").alias("away_turnovers"),
+        payloads.metric(payloads.metric_items(F.col("b")), "field goals", "home").alias("home_fg"),
+        payloads.metric(payloads.metric_items(F.col("b")), "turnovers", "away").alias("away_turnovers"),
     )
 
 

@@ -62,10 +62,18 @@ def _loose_label(name: Column) -> Column:
     return F.replace(_label(name), F.lit("-"), F.lit(" "))
 
 
-def metric(block: Column, name: str, side: str, label=_label) -> Column:
-    """Display text of one metric for one side; the last item of that name wins."""
+def metric_items(block: Column, label=_label) -> Column:
+    """All items of a block with their normalised label; materialise it once per block."""
     items = F.flatten(F.transform(block["groups"], lambda g: F.coalesce(g["statisticsItems"], F.array())))
-    return F.try_element_at(F.filter(items, lambda i: label(i["name"]) == name), F.lit(-1))[side]
+    return F.transform(
+        items,
+        lambda i: F.struct(label(i["name"]).alias("name"), i["home"].alias("home"), i["away"].alias("away")),
+    )
+
+
+def metric(items: Column, name: str, side: str) -> Column:
+    """Display text of one metric for one side; the last item of that name wins."""
+    return F.try_element_at(F.filter(items, lambda i: i["name"] == name), F.lit(-1))[side]
 
 
 def _label_map(column: int) -> Column:
@@ -85,15 +93,15 @@ def score_key(label: Column) -> Column:
     return F.try_element_at(_label_map(3), F.upper(label))
 
 
-def _shooting(block: Column) -> dict[str, Column]:
+def _shooting(items: Column) -> dict[str, Column]:
     """Attempts, offensive rebounds and turnovers per side; zero attempts count as missing."""
     out: dict[str, Column] = {}
     for side in ("home", "away"):
         for name, source in (("fga", FIELD_GOALS), ("fta", FREE_THROWS)):
-            tried = parse.shot_lenient(metric(block, source, side))[1]
+            tried = parse.shot_lenient(metric(items, source, side))[1]
             out[f"{side}_{name}"] = F.nullif(tried, F.lit(0))
-        out[f"{side}_off_reb"] = parse.integer(metric(block, OFFENSIVE_REBOUNDS, side))
-        out[f"{side}_turnovers"] = parse.integer(metric(block, TURNOVERS, side))
+        out[f"{side}_off_reb"] = parse.integer(metric(items, OFFENSIVE_REBOUNDS, side))
+        out[f"{side}_turnovers"] = parse.integer(metric(items, TURNOVERS, side))
     return out
 
 
@@ -111,8 +119,10 @@ def period_rows(payloads: DataFrame, key: str = "event_id") -> DataFrame:
         F.col("home_score").alias("_hs"),
         F.col("away_score").alias("_as"),
         (F.size(known) > 0).alias("has_quarter_breakdown"),
-        F.explode(chosen).alias("_b"),
-    )
+        # the outer form keeps the optimizer from evaluating the array a second time as a filter
+        F.explode_outer(chosen).alias("_b"),
+    ).where(F.col("_b").isNotNull())
+    rows = rows.withColumn("_items", metric_items(F.col("_b")))
     label = F.col("_b.period")
     score_name = F.coalesce(score_key(label), F.lit("current"))
     rows = rows.withColumns(
@@ -121,7 +131,7 @@ def period_rows(payloads: DataFrame, key: str = "event_id") -> DataFrame:
             "period_type": F.coalesce(period_type(label), F.lit("GAME")),
             "home_score": F.try_element_at(F.col("_hs"), score_name),
             "away_score": F.try_element_at(F.col("_as"), score_name),
-            **_shooting(F.col("_b")),
+            **_shooting(F.col("_items")),
         }
     )
     rows = rows.withColumns(
@@ -145,7 +155,7 @@ def period_rows(payloads: DataFrame, key: str = "event_id") -> DataFrame:
         & F.col("home_possessions").isNull()
         & F.col("away_possessions").isNull()
     )
-    return rows.where(~empty_game).drop("_hs", "_as", "_b")
+    return rows.where(~empty_game).drop("_hs", "_as", "_b", "_items")
 
 
 def score_rows(events: DataFrame, key: str = "event_id") -> DataFrame:
@@ -171,7 +181,8 @@ def score_rows(events: DataFrame, key: str = "event_id") -> DataFrame:
     gap = F.array_position(F.transform(extra, missing), True)
     played = F.when(gap > 0, gap - 1).otherwise(F.lit(len(OVERTIME_KEYS)))
     overtime = F.slice(extra, F.lit(1), played.cast("int"))
-    return events.select(key, F.explode(F.concat(quarters, overtime)).alias("r")).select(key, "r.*")
+    played_rows = events.select(key, F.explode_outer(F.concat(quarters, overtime)).alias("r"))
+    return played_rows.where(F.col("r").isNotNull()).select(key, "r.*")
 
 
 def game_attempts(payloads: DataFrame, key: str = "event_id") -> DataFrame:
@@ -184,7 +195,10 @@ def game_attempts(payloads: DataFrame, key: str = "event_id") -> DataFrame:
 
     def read(block: Column) -> Column:
         return F.struct(
-            *[parse.shot_attempts(metric(block, s, side)).alias(n) for n, (s, side) in names.items()]
+            *[
+                parse.shot_attempts(metric(metric_items(block), s, side)).alias(n)
+                for n, (s, side) in names.items()
+            ]
         )
 
     whole = F.filter(F.col("statistics"), lambda b: F.upper(b["period"]) == WHOLE_GAME)
@@ -218,11 +232,12 @@ def match_statistics(payloads: DataFrame) -> DataFrame:
         F.filter(F.col("statistics"), lambda b: b["period"] == WHOLE_GAME), F.lit(1)
     )
     rows = payloads.withColumn("_b", block)
+    rows = rows.withColumn("_items", metric_items(F.col("_b"), _loose_label))
     out: dict[str, Column] = {}
     checks: list[tuple[str, str]] = []
     for side in ("home", "away"):
         for short, name, kind in REQUIRED:
-            text = metric(F.col("_b"), name, side, _loose_label)
+            text = metric(F.col("_items"), name, side)
             if kind == "shot":
                 made, tried = parse.shot_strict(text)
                 out[f"{side}_{short}_made"], out[f"{side}_{short}_attempted"] = made, tried
@@ -235,7 +250,7 @@ def match_statistics(payloads: DataFrame) -> DataFrame:
         F.when(F.col("_b").isNull(), F.lit("no full-game block")),
         *[F.when(F.col(c).isNull(), F.lit(why)) for c, why in checks],
     )
-    return rows.withColumn("reject_reason", reason).drop("_b", "statistics")
+    return rows.withColumn("reject_reason", reason).drop("_b", "_items", "statistics")
 
 
 def advanced_rows(box: DataFrame) -> DataFrame:

@@ -66,6 +66,68 @@ def fill_global_mean(
     return doubles.fillna(known) if known else doubles
 
 
+def side_means(rows: DataFrame, columns: Sequence[str], league: str = "league") -> DataFrame:
+    """Per league and side: row count, and mean and count of each per-appearance column.
+
+    One aggregation over the appearances, before sides are joined; ``home_<c>`` means follow
+    from the home rows and ``away_<c>`` means from the road rows.
+    """
+    return small_table(
+        rows.groupBy(league, "is_road").agg(
+            F.count("*").alias("_n"),
+            *[F.avg(c).alias(f"_m_{c}") for c in columns],
+            *[F.count(c).alias(f"_k_{c}") for c in columns],
+        )
+    )
+
+
+def sided_global_means(means: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Mean over all contests of every ``home_<c>`` / ``away_<c>``."""
+    sums = means.groupBy("is_road").agg(
+        *[
+            (F.sum(F.col(f"_m_{c}") * F.col(f"_k_{c}")) / F.nullif(F.sum(f"_k_{c}"), F.lit(0))).alias(c)
+            for c in columns
+        ]
+    )
+    sides = {r["is_road"]: r for r in sums.collect()}
+    return {
+        f"{side}_{c}": sides[road][c]
+        for side, road in (("home", False), ("away", True))
+        for c in columns
+        if road in sides and sides[road][c] is not None
+    }
+
+
+def sided_league_fills(means: DataFrame, columns: Sequence[str], league: str = "league") -> DataFrame:
+    """Per league, the fill of every ``home_<c>`` / ``away_<c>``: league mean, else overall.
+
+    The overall mean is the one after the league fill: league means weighted by league rows.
+    """
+    known = {c: F.col(f"_m_{c}").isNotNull() for c in columns}
+    totals = means.groupBy("is_road").agg(
+        *[
+            (
+                F.sum(F.when(known[c], F.col("_n") * F.col(f"_m_{c}")))
+                / F.nullif(F.sum(F.when(known[c], F.col("_n"))), F.lit(0))
+            ).alias(c)
+            for c in columns
+        ]
+    )
+    overall = {r["is_road"]: r for r in totals.collect()}
+
+    def fill(c: str, road: bool) -> Column:
+        here = F.max(F.when(F.col("is_road") == road, F.col(f"_m_{c}")))
+        rest = overall[road][c] if road in overall else None
+        return F.coalesce(here, F.lit(rest).cast("double"))
+
+    fills = [
+        fill(c, road).alias(f"_f_{side}_{c}")
+        for side, road in (("home", False), ("away", True))
+        for c in columns
+    ]
+    return small_table(means.groupBy(league).agg(*fills))
+
+
 def fill_league_mean(
     df: DataFrame, columns: Sequence[str], league: str, fit_on: DataFrame | None = None
 ) -> DataFrame:

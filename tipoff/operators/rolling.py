@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.operators import scale
@@ -16,16 +16,16 @@ from tipoff.session import staged
 def _block_shape(windows: Sequence[int], span: int | None) -> tuple[int, int]:
     """Rows per block and lead-in rows.
 
-    Weights of the exponential mean are powers of 1/q counted from the block start, so the
-    block must end before they leave double range; rows further back than the lead-in weigh
-    less than 1e-16 of the newest one.
+    Weights of the exponential mean are powers of 1/q counted from the middle of the block, so
+    the block must end before they leave double range on either side; rows further back than
+    the lead-in weigh less than 1e-16 of the newest one.
     """
     lead = max([1, *windows])
     if span is None:
         return max(50_000, 4 * lead), lead
     decay = -math.log(1 - 2 / (span + 1))
     lead = max(lead, math.ceil(37 / decay))
-    size = int(600 / decay) - lead
+    size = int(1200 / decay) - lead
     if size < lead:
         raise ValueError("rolling windows are too long to share a pass with this span")
     return size, lead
@@ -57,33 +57,38 @@ def lagged_means_by(tl: Timeline, plan: dict[str, tuple[tuple[int, ...], int | N
     rows = tl.df
     if blocked:
         rows = scale.split_blocks(rows, "_pos", size, lead)
-        part = [*tl.entity, "_block"]
+        inside = Window.partitionBy(*tl.entity, "_block").orderBy(*tl.order)
+        step = F.col("_pos") - F.col("_block") * size - size // 2
     else:
-        rows = rows.withColumn("_block", F.lit(0).cast("bigint")).withColumn("_own", F.lit(True))
-        part = list(tl.entity)
-    inside = Window.partitionBy(*part).orderBy(*tl.order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    out: dict[str, F.Column] = {}
+        inside = tl.window()
+        step = F.col("_pos") - size // 2
+    for span in spans:
+        rows = rows.withColumn(f"_w{span}", F.pow(F.lit(1 + 2 / (span - 1)), step.cast("double")))
+
+    # in one piece, the ratio over earlier rows is the mean itself; in blocks, it is kept at
+    # the row it belongs to and carried forward from there
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0 if blocked else -1)
+    out: dict[str, Column] = {}
     states: dict[str, str] = {}
     for c, (ks, span) in plan.items():
         for k in ks:
             out[f"{c}_L{k}"] = F.avg(c).over(inside.rowsBetween(-k, -1))
         if span is not None:
-            q = 1 - 2 / (span + 1)
-            step = (F.col("_pos") - F.col("_block") * size).cast("double")
-            weight = F.pow(F.lit(1 / q), step)
-            seen = F.col(c).isNotNull()
-            total = F.sum(F.when(seen, F.col(c) * weight)).over(upto)
-            mass = F.sum(F.when(seen, weight)).over(upto)
-            states[f"{c}_EMA{span}"] = f"_s_{c}_{span}"
-            out[f"_s_{c}_{span}"] = F.when(seen, total / mass)
-    rows = rows.withColumns(out)
+            weight, seen = F.col(f"_w{span}"), F.col(c).isNotNull()
+            mean = F.sum(F.col(c) * weight).over(upto) / F.sum(F.when(seen, weight)).over(upto)
+            name = f"{c}_EMA{span}"
+            if blocked:
+                states[name] = f"_s_{c}_{span}"
+                out[states[name]] = F.when(seen, mean)
+            else:
+                out[name] = mean
+    rows = rows.withColumns(out).drop(*[f"_w{span}" for span in spans])
     if blocked:
         rows = rows.where("_own")
-    if states:
-        rows = _carry_states(tl, rows, states)
-    return tl.with_df(rows.drop("_block", "_own", *states.values()))
+        if states:
+            rows = _carry_states(tl, rows, states)
+        rows = rows.drop("_block", "_own", *states.values())
+    return tl.with_df(rows)
 
 
 def _carry_states(tl: Timeline, rows: DataFrame, states: dict[str, str]) -> DataFrame:

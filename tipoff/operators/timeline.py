@@ -66,6 +66,32 @@ def rejoin_sides(
     )
 
 
+def join_halves(
+    rows: DataFrame,
+    columns: Sequence[str],
+    keep: Sequence[str] = (),
+    contest_id: str = "match_id",
+) -> DataFrame:
+    """``rejoin_sides`` for wide rows that are already stored: home half joined to road half.
+
+    Each half is shuffled once with its own columns only; the aggregation form would carry
+    every column twice, half of them NULL.
+    """
+    home = rows.where(~F.col("is_road")).select(
+        contest_id, *keep, *[F.col(c).alias(f"home_{c}") for c in columns]
+    )
+    away = rows.where("is_road").select(
+        contest_id, *[F.col(c).alias(f"away_{c}") for c in columns]
+    )
+    return home.join(away, contest_id, "inner")
+
+
+def longest_timeline(contests: DataFrame) -> int:
+    """Rows of the busiest team, from the two team columns alone."""
+    ids = contests.select(F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
+    return scale.largest_group(ids, ["team_id"])
+
+
 def micros(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
 

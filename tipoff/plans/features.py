@@ -11,7 +11,13 @@ from tipoff.operators import fills
 from tipoff.operators.periods import contest_stats, period_summary, target_totals
 from tipoff.operators.rolling import lagged_means, lagged_means_by
 from tipoff.operators.schedule import days_rest, schedule_load, with_gap
-from tipoff.operators.timeline import appearances, finish, rejoin_sides, timeline
+from tipoff.operators.timeline import (
+    appearances,
+    finish,
+    join_halves,
+    longest_timeline,
+    timeline,
+)
 from tipoff.operators.venue import venue_gap
 from tipoff.plans import columns as names
 from tipoff.session import staged
@@ -93,31 +99,36 @@ def score_features(
     """Every model column of ``names.ALL_FEATURES`` per contest, with totals and the line.
 
     One scan of the contests gives both appearances, one partitioning by team serves all
-    rolling, calendar and venue columns, and one aggregation by contest puts the sides
-    together. The result is written once because the fills need its means first. ``fit_on``
-    is a SQL condition choosing the rows the fill and league means are taken from; the
-    default takes all rows, later ones included.
+    rolling, calendar and venue columns, and one join by contest puts the sides together. The appearances are written once: the fill means are taken from them before the
+    two halves are joined. ``fit_on`` is a SQL condition on ``scheduled_at``, ``league`` or the
+    contest id choosing the rows that fill and league means are taken from; the default takes
+    all rows, later ones included.
     """
     base = contests.join(period_summary(periods), "match_id", "left")
     base = target_totals(base).withColumns(
         {
-            "has_boxscore": (F.col("home_poss") >= 1).cast("int"),
+            "has_boxscore": F.coalesce((F.col("home_poss") >= 1).cast("int"), F.lit(0)),
             "scheduled_at_kept": F.col("scheduled_at"),
         }
     )
-    base = base.withColumn("has_boxscore", F.coalesce("has_boxscore", F.lit(0)))
-    rows = appearances(base, _score_stats(base), KEEP)
-    tl = timeline(rows, limits=limits)
+    stats = _score_stats(base) | {"league": (F.col("league"), F.col("league"))}
+    keep = [c for c in KEEP if c != "league"]
+    tl = timeline(
+        appearances(base, stats, keep), limits=limits, longest=longest_timeline(contests)
+    )
     tl = schedule_load(tl, cfg)
     tl = venue_gap(tl, "win", "ha_gap", cfg.venue_window)
     plan = {c: (cfg.score_windows, cfg.ema_span) for c in (*names.SCORE_STATS, *names.EXTRA_STATS)}
     plan |= {c: (cfg.score_windows[:1], cfg.ema_span) for c in names.RATING_STATS}
     plan |= {c: (cfg.score_windows[-1:], cfg.ema_span) for c in names.BOX_STATS}
-    rolled = finish(lagged_means_by(tl, plan))
+    rolled = finish(lagged_means_by(tl, plan)).drop(*plan)
+    rolled = staged(rolled, "score-appearances")
 
     outputs = [f"{c}_{e}" for c, (ks, span) in plan.items() for e in names.suffixes(ks, span)]
     calendar = ["days_rest", "is_b2b", "games_last_short", "games_last_long", "is_high_density"]
-    wide = rejoin_sides(rolled, [*outputs, *calendar, "consecutive_road", "ha_gap"], KEEP)
+    wide = join_halves(
+        rolled, [*outputs, *calendar, "consecutive_road", "ha_gap"], ["league", *keep]
+    )
     wide = wide.withColumnsRenamed(
         {
             "scheduled_at_kept": "scheduled_at",
@@ -135,12 +146,23 @@ def score_features(
             "rest_diff": F.col("home_days_rest") - F.col("away_days_rest"),
         }
     )
-    wide = staged(wide, "score-features")
-    fit_rows = None if fit_on is None else wide.where(fit_on)
-    fill = [*names.sided((*names.SCORE_STATS, *names.EXTRA_STATS), names.suffixes(cfg.score_windows, cfg.ema_span)),
-            *fills.MATCHUP_COLUMNS]
-    wide = fills.fill_league_mean(wide, names.TEAM_ADVANCED, "league", fit_rows)
-    wide = fills.fill_global_mean(wide, fill, fit_rows if fit_rows is not None else wide)
+    scored = [
+        f"{c}_{e}"
+        for c in (*names.SCORE_STATS, *names.EXTRA_STATS)
+        for e in names.suffixes(cfg.score_windows, cfg.ema_span)
+    ]
+    box = [f"{c}_{e}" for c in names.BOX_STATS for e in names.suffixes(cfg.score_windows[-1:], cfg.ema_span)]
+    fit_rows = rolled if fit_on is None else rolled.where(fit_on)
+    means = fills.side_means(fit_rows, [*scored, *box])
+    fit_wide = wide if fit_on is None else wide.where(fit_on)
+    pairs = fit_wide.agg(*[F.avg(c).alias(c) for c in fills.MATCHUP_COLUMNS]).first()
+    known = fills.sided_global_means(means, scored)
+    known |= {c: pairs[c] for c in fills.MATCHUP_COLUMNS if pairs[c] is not None}
+    by_league = fills.sided_league_fills(means, box)
+    wide = wide.join(by_league, "league", "left").withColumns(
+        {f"{s}_{c}": F.coalesce(f"{s}_{c}", f"_f_{s}_{c}") for s in ("home", "away") for c in box}
+    )
+    wide = wide.drop(*[f"_f_{s}_{c}" for s in ("home", "away") for c in box]).fillna(known)
     return line_signals(wide)
 
 
@@ -171,11 +193,12 @@ def pace_features(
     carried = [c for c in stats.columns if c not in ("match_id", "scheduled_at")]
     both = {s: (F.col(f"home_{s}"), F.col(f"away_{s}")) for s in names.PACE_STATS}
     rows = appearances(stats.withColumn("_at", F.col("scheduled_at")), both, [*carried, "_at"])
-    tl = with_gap(timeline(rows, limits=limits))
+    tl = with_gap(timeline(rows, limits=limits, longest=longest_timeline(contests)))
     tl = tl.with_df(tl.df.withColumn("days_rest", days_rest(F.col("_gap"))).drop("_gap"))
-    rolled = finish(lagged_means(tl, names.PACE_STATS, cfg.pace_windows))
+    rolled = finish(lagged_means(tl, names.PACE_STATS, cfg.pace_windows)).drop(*names.PACE_STATS)
+    rolled = staged(rolled, "pace-appearances")
     outputs = [f"{s}_L{w}" for s in names.PACE_STATS for w in cfg.pace_windows]
-    wide = rejoin_sides(rolled, [*outputs, "days_rest"], [*carried, "_at"])
+    wide = join_halves(rolled, [*outputs, "days_rest"], [*carried, "_at"])
     wide = wide.withColumnRenamed("_at", "scheduled_at")
     levels = fills.league_levels(stats, "tournament_name", "home_pace")
     return fills.matchup(wide, levels, "tournament_name", "pts_scored", "pts_allowed")

@@ -66,6 +66,7 @@ def split_at(
     df: DataFrame,
     cuts: Sequence[tuple[str, int]],
     last: str,
+    total: int | None = None,
     ts: str = "scheduled_at",
     tie: str = "match_id",
     limits: ScaleSettings = SCALE,
@@ -76,7 +77,7 @@ def split_at(
     unpartitioned sort of the data takes place.
     """
     spark = df.sparkSession
-    total = df.count()
+    total = df.count() if total is None else total
     inner = [(name, end) for name, end in cuts if end < total]
     wanted = spark.createDataFrame([(name, end + 1) for name, end in inner], "_name string, _rank long")
     found = {
@@ -98,13 +99,13 @@ def split_three_ways(df: DataFrame, train: float, validation: float, **kw) -> Da
     """Leading ``int(n * train)`` rows, next up to ``int(n * (train + validation))``, rest."""
     n = df.count()
     a, b = int(n * train), int(n * (train + validation))
-    return split_at(df, [("train", a), ("validation", b)], "test", **kw)
+    return split_at(df, [("train", a), ("validation", b)], "test", n, **kw)
 
 
 def split_two_ways(df: DataFrame, test: float = TEST_FRACTION, **kw) -> DataFrame:
     """Unshuffled split with ``ceil(n * test)`` test rows."""
     n = df.count()
-    return split_at(df, [("train", n - math.ceil(n * test))], "test", **kw)
+    return split_at(df, [("train", n - math.ceil(n * test))], "test", n, **kw)
 
 
 def split_by_months(df: DataFrame, months: Sequence[int], ts: str = "scheduled_at") -> DataFrame:

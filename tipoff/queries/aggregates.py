@@ -559,6 +559,23 @@ def latest_split(d):
     return splits.split_latest(d.contests, "league").select("match_id", "split")
 
 
+@query(
+    "st2_test_rows",
+    sql(
+        "contests",
+        """
+        SELECT league, count(*) AS n_test FROM (
+            SELECT league, row_number() OVER (PARTITION BY league ORDER BY scheduled_at DESC, match_id DESC) AS r,
+                   count(*) OVER (PARTITION BY league) AS n FROM contests)
+        WHERE r <= greatest(1, CAST(floor(n * 0.2E0) AS BIGINT)) GROUP BY league
+        """,
+    ),
+)
+def held_out_rows(d):
+    held_out = splits.split_latest(d.contests, "league").where("split = 'test'")
+    return held_out.groupBy("league").agg(F.count("*").alias("n_test"))
+
+
 @query(
     "wn11_three_way_split",
     sql(

@@ -427,7 +427,7 @@ def league_backtest(d):
 
 @query("ev4_grid_game")
 def grid_game(d):
-    leagues = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+    leagues = ["1-URGENT", "2-HIGH"]
     predictions, _ = backtest.grid_cells(
         kept_score_table(d), "game", leagues, ["BASE", "BASE+FATIGUE+TEAM_ADV"], LOOSE, SMALL_TREES
     )

@@ -98,9 +98,13 @@ def normalise_name(name: Column, exact: bool = False) -> Column:
     out = _lookup(out, NAME_ALIASES)
     out = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), COMPOUNDS.items(), out)
     out = reduce(lambda c, kv: F.regexp_replace(c, kv[0], kv[1]), EXPANSIONS.items(), out)
-    out = F.regexp_replace(out, rf"(?iU)\b({STOP_WORDS})\b", " ")
-    out = F.regexp_replace(out, r"(?U)\b\d+\b", " ")
-    out = F.regexp_replace(out, "[^a-z0-9 ]", " ")
+    # a stop word or number is removed where it is a whole word, so words can be tested one by
+    # one; an alternation of all stop words would be tried at every word start
+    words = F.filter(
+        F.split(out, r"(?U)\W+"),
+        lambda w: ~w.isin(STOP_WORDS.split("|")) & ~w.rlike(r"(?U)^\d+$"),
+    )
+    out = F.regexp_replace(F.array_join(words, " "), "[^a-z0-9 ]", " ")
     return F.trim(F.regexp_replace(out, " +", " "))
 
 

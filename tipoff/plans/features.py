@@ -190,16 +190,16 @@ def pace_features(
     stats = stats.withColumn(
         "is_playoff", (F.col("scheduled_at") >= F.lit(cfg.playoff_start).cast("timestamp")).cast("int")
     )
-    carried = [c for c in stats.columns if c not in ("match_id", "scheduled_at")]
-    both = {s: (F.col(f"home_{s}"), F.col(f"away_{s}")) for s in names.PACE_STATS}
-    rows = appearances(stats.withColumn("_at", F.col("scheduled_at")), both, [*carried, "_at"])
+    both = {c: (F.col(f"home_{c}"), F.col(f"away_{c}")) for c in names.PACE_STATS}
+    rows = appearances(stats, both)
     tl = with_gap(timeline(rows, limits=limits, longest=longest_timeline(contests)))
     tl = tl.with_df(tl.df.withColumn("days_rest", days_rest(F.col("_gap"))).drop("_gap"))
-    rolled = finish(lagged_means(tl, names.PACE_STATS, cfg.pace_windows)).drop(*names.PACE_STATS)
-    rolled = staged(rolled, "pace-appearances")
-    outputs = [f"{s}_L{w}" for s in names.PACE_STATS for w in cfg.pace_windows]
-    wide = join_halves(rolled, [*outputs, "days_rest"], [*carried, "_at"])
-    wide = wide.withColumnRenamed("_at", "scheduled_at")
+    rolled = finish(lagged_means(tl, names.PACE_STATS, cfg.pace_windows))
+    rolled = staged(rolled.drop(*names.PACE_STATS, "scheduled_at", "team_id"), "pace-appearances")
+    outputs = [f"{c}_L{w}" for c in names.PACE_STATS for w in cfg.pace_windows]
+    # the contest columns are joined back by contest id: carrying them through the team
+    # partitioning would move each of them twice
+    wide = stats.join(join_halves(rolled, [*outputs, "days_rest"]), "match_id", "inner")
     levels = fills.league_levels(stats, "tournament_name", "home_pace")
     return fills.matchup(wide, levels, "tournament_name", "pts_scored", "pts_allowed")
 

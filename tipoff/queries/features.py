@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tipoff.config import BETS, FEATURES, TREES
 from tipoff.operators import grid, metrics, periods, settle
 from tipoff.plans import backtest, columns, features, models
-from tipoff.queries.aggregates import QUARTERS, WIDE
+from tipoff.queries.aggregates import ALL_SETTLED, QUARTERS, REPORT, WIDE
 from tipoff.queries.registry import as_long, query, rounded
 from tipoff.queries.views import sql
 from tipoff.queries.windows import GAP, W, ema_sql
@@ -195,7 +195,7 @@ def score_table_checked(d):
 @query(
     "pf9_model_inputs",
     f"""
-    SELECT league, count(*) AS n, round(sum(home_is_b2b), 6) AS s_b2b, round(sum(home_pts_scored_game_EMA5), 4) AS s_ema
+    SELECT league, count(*) AS n, round(CAST(sum(home_is_b2b) AS DOUBLE), 6) AS s_b2b, round(sum(home_pts_scored_game_EMA5), 4) AS s_ema
     FROM ({FEATURE_SQL}) WHERE league = '1-URGENT' GROUP BY league
     """,
 )
@@ -476,10 +476,19 @@ def settings_override(d):
     return out
 
 
-@query("pf3_pipeline_specs_settled")
+@query(
+    "pf3_pipeline_specs_settled",
+    sql(
+        "predictions",
+        REPORT.replace("league, threshold", "spec, threshold"),
+        specced="SELECT *, CASE league WHEN '1-URGENT' THEN 'one' ELSE 'rest' END AS spec "
+        "FROM predictions WHERE actual <> line",
+        settled=ALL_SETTLED.replace("FROM predictions p", "FROM specced p"),
+    ),
+)
 def specs_settled(d):
     """Report of a fixed score over two league specs of the feature table."""
     rows = _dataset(d).select("match_id", "league").join(d.predictions.drop("league"), "match_id")
     rest = tables.apply_spec(rows, (), ("1-URGENT",)).withColumn("spec", F.lit("rest"))
     one = tables.apply_spec(rows, ("1-URGENT",)).withColumn("spec", F.lit("one"))
-    return settle.sweep(one.unionByName(rest), ["spec"])
+    return rounded(settle.sweep(one.unionByName(rest), ["spec"]), "profit", "winrate", "roi")

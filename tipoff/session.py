@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(name: str = "tipoff", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,9 +39,24 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     # Window stages are heavy on CPU and light on bytes: let small shuffles keep all cores.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python workers can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    build = tempfile.mkdtemp(prefix="tipoff-ship-")
+    copied = os.path.join(build, "src", "tipoff")
+    shutil.copytree(package, copied, ignore=shutil.ignore_patterns("__pycache__"))
+    archive = shutil.make_archive(os.path.join(build, "tipoff"), "zip", os.path.dirname(copied))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tipoff.llm import exact, lines, mixing, packing, repeats  # noqa: F401
+from tipoff.llm import exact, jaccard, lines, mixing, packing, repeats  # noqa: F401
 from tipoff.llm.common import QUERIES
 
 

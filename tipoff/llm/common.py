@@ -76,3 +76,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+def hash_sample(df: DataFrame, key: str, about: int, seed: int = 1) -> DataFrame:
+    """About ``about`` rows of ``df``, all if it has no more; a row is in by the hash of its key alone."""
+    n = df.count()
+    if n <= about:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) < int(about / n * (1 << 40)))

@@ -85,17 +85,17 @@ class SpanHash:
 class Words:
     """Words of some texts: byte spans, and for each text the range of its words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
         black = np.ones(len(data) + 2, dtype=np.int8)
         black[0] = black[-1] = 0
-        black[1:-1] = ~SPACE[data]
+        black[1:-1] = ~space[data]
         step = np.diff(black)
         starts, ends = np.flatnonzero(step[:-1] == 1), np.flatnonzero(step[1:] == -1) + 1
         # A word that goes over the edge of a text is cut there.
         edge = offsets[1:-1]
         edge = np.unique(edge[(edge > 0) & (edge < len(data))]) if len(edge) else edge
         if len(edge):
-            edge = edge[~SPACE[data[edge]] & ~SPACE[data[edge - 1]]]
+            edge = edge[~space[data[edge]] & ~space[data[edge - 1]]]
             starts, ends = np.sort(np.concatenate([starts, edge])), np.sort(np.concatenate([ends, edge]))
         self.starts, self.ends = starts, ends
         self.range = np.searchsorted(starts, offsets)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tipoff.llm import exact, jaccard, language, lines, mixing, packing, quality, repeats, toxicity  # noqa: F401
+from tipoff.llm import exact, jaccard, kneser_ney, language, lines, mixing, packing, quality, repeats, toxicity  # noqa: F401
 from tipoff.llm.common import QUERIES
 
 

@@ -18,6 +18,8 @@ from tipoff.session import staged
 SLOTS = 4
 LOAD = 0.8
 KICKS = 500
+#: Columns that join a document with its dropped lines for a moment.
+DROP_ID, DROP_KEYS = "__line_drop_id", "__line_drop_keys"
 
 
 class Cuckoo:
@@ -285,48 +287,70 @@ class LineIndex:
         return sure.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
 
 
-def _dropper(least: int, output: str) -> Callable:
+def _stays(text: str | None, keys: list | None, least: int) -> tuple[list[str], list[str]]:
+    """All lines of a text, and those that stay."""
+    lines = (text or "").split("\n")
+    if not keys:
+        return lines, lines
+    gone = {(k["k1"], k["k2"]) for k in keys}
+
+    def dropped(line: str) -> bool:
+        if len(line) < least:
+            return False
+        key = line_key(line)
+        return _points(key) >= least and _digest(key) in gone
+
+    return lines, [line for line in lines if not dropped(line)]
+
+
+def _cut_text(least: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, keys in zip(batch.column("text").to_pylist(), batch.column(DROP_KEYS).to_pylist(), strict=True):
+                lines, stay = _stays(text, keys, least)
+                texts.append(text if len(stay) == len(lines) else "\n".join(stay))
+            spot = batch.schema.get_field_index("text")
+            rest = batch.set_column(spot, "text", pa.array(texts, pa.string()))
+            yield rest.drop_columns([DROP_KEYS])
+
+    return run
+
+
+def _cut_digest(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists = batch.column("text").to_pylist(), batch.column("keys").to_pylist()
-            counts, dropped, kept = [], [], []
-            for text, keys in zip(texts, lists, strict=True):
-                lines = (text or "").split("\n")
+            counts, dropped, digests = [], [], []
+            for text, keys in zip(batch.column("text").to_pylist(), batch.column(DROP_KEYS).to_pylist(), strict=True):
+                lines, stay = _stays(text, keys, least)
                 counts.append(len(lines))
-                if keys:
-                    gone = {(k["k1"], k["k2"]) for k in keys}
-                    stay = []
-                    for line in lines:
-                        key = line_key(line) if len(line) >= least else b""
-                        if not (_points(key) >= least and _digest(key) in gone):
-                            stay.append(line)
-                else:
-                    stay = lines
                 dropped.append(len(lines) - len(stay))
-                left = text if len(stay) == len(lines) else "\n".join(stay)
-                kept.append(hashlib.sha256((left or "").encode("utf-8", "surrogatepass")).hexdigest() if output == "digest" else left)
-            rest = batch.drop_columns(["text", "keys"])
-            arrays = [*rest.columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())]
-            name = "kept_sha256" if output == "digest" else "text"
-            yield pa.RecordBatch.from_arrays(arrays, [*rest.schema.names, "n_lines", "n_dropped", name])
+                digests.append(hashlib.sha256("\n".join(stay).encode("utf-8", "surrogatepass")).hexdigest())
+            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     return run
 
 
-def drop_lines(docs: DataFrame, index: LineIndex, output: str = "text") -> DataFrame:
-    """The documents without the lines that the index drops, with n_lines and n_dropped.
+def _with_drops(docs: DataFrame, index: LineIndex) -> DataFrame:
+    drops = index.drops().select(F.col("doc_id").alias(DROP_ID), F.col("keys").alias(DROP_KEYS))
+    return docs.join(drops, docs["doc_id"].cast("long").eqNullSafe(F.col(DROP_ID)), "left").drop(DROP_ID)
+
 
-    ``output``: "text" replaces the text, "digest" gives kept_sha256 instead of it. Only documents
-    with a key in ``index.drops`` change. Other columns stay; their names must not be keys,
-    n_lines, n_dropped or kept_sha256.
+def drop_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
+    """The documents, all columns, with the lines that the index drops taken out of ``text``.
+
+    The text of a document that loses nothing stays as it is, null included; one that loses all its
+    lines becomes empty. Rows that share an id are cut alike.
     """
-    drops = index.drops().withColumnRenamed("doc_id", "drop_id")
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("drop_id")), "left").drop("drop_id")
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    name = "kept_sha256" if output == "digest" else "text"
-    ordered = joined.select(*[joined[f"`{f.name}`"] for f in rest], "text", "keys")
-    return ordered.mapInArrow(_dropper(index.least, output), f"{schema}, n_lines long, n_dropped long, {name} string")
+    return _with_drops(docs, index).mapInArrow(_cut_text(index.least), docs.schema)
+
+
+def line_digests(docs: DataFrame, index: LineIndex) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_sha256 of what ``drop_lines`` leaves; null is one empty line."""
+    picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
+    return _with_drops(picked, index).mapInArrow(_cut_digest(index.least), schema)
 
 
 @query(
@@ -346,4 +370,4 @@ def drop_lines(docs: DataFrame, index: LineIndex, output: str = "text") -> DataF
 )
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_lines(docs, LineIndex.empty(spark).insert(docs), "digest")
+    return line_digests(docs, LineIndex.empty(spark).insert(docs))

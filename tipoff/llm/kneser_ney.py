@@ -97,9 +97,8 @@ def runs(shard: np.ndarray, kind: int, keys: np.ndarray, counts: np.ndarray) ->
     """One row for each shard: its sorted keys and their counts. ``keys`` come sorted."""
     order = np.argsort(shard, kind="stable")
     shard, keys, counts = shard[order], keys[order], counts[order]
-    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(shard))
-    pairs = list(zip(cut.tolist(), ends.tolist(), strict=True))
+    cut = np.flatnonzero(np.concatenate([[len(shard) > 0], shard[1:] != shard[:-1]]))
+    pairs = list(zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=False))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(shard[cut].astype(np.int32)),

@@ -213,7 +213,7 @@ class _Grower:
 
 def fit_trees(
     x: np.ndarray, y: np.ndarray, sides: np.ndarray, *, trees: int = 80, depth: int = 4, rate: float = 0.15,
-    bins: int = 64, least: float = 4.0, penalty: float = 1.0,
+    bins: int = 64, least: float = 1.0, penalty: float = 1.0,
 ) -> Trees:
     """Boost logistic loss. With one class only there are no trees, just its rate."""
     mean = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)

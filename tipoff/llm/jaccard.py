@@ -351,7 +351,8 @@ def near_groups(
 
     nodes = base.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("ref").alias("ref"), F.max("n_shingles").alias("n"))
     wanted = settle(nodes.join(classes, "node").select("ref", "node", "super"), "wanted")
-    texts = known.select("ref", "text").join(wanted, "ref").select("super", "node", "text")
+    # One plan at every size: texts are joined by a shuffle, however few documents are wanted.
+    texts = known.select("ref", "text").join(wanted.hint("merge"), "ref").select("super", "node", "text")
     members = settle(texts.mapInArrow(_sets(width), "super long, node long, n long, elements binary"), "members")
 
     roots = components(verified_links(members, bound, block_size))

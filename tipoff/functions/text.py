@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache, reduce
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,36 +49,15 @@ CONTAINMENT_BASE = 0.5
 CONTAINMENT_SLOPE = 0.25
 
 
-@lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    """Letters that decompose to one ASCII letter plus combining marks, and that letter."""
-    source, target = [], []
-    for code in range(0x80, 0x2000):
-        char = chr(code)
-        plain = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
-        if char.isalpha() and len(plain) == 1 and plain[0].isascii() and plain[0].isalpha():
-            source.append(char)
-            target.append(plain[0])
-    return "".join(source), "".join(target)
-
-
 @F.pandas_udf(StringType())
 def _compatibility_form(names: pd.Series) -> pd.Series:
     return names.str.normalize("NFKD")
 
 
-def strip_accents(name: Column, exact: bool = False) -> Column:
-    """Fold accented letters to ASCII.
-
-    The default stays in the JVM: one ``translate`` over all single-letter decompositions plus
-    removal of loose combining marks. ``exact`` runs the full compatibility decomposition
-    (ligatures, full-width forms) in an Arrow batch; use it on distinct names.
-    """
-    if exact:
-        name = _compatibility_form(name)
-    else:
-        name = F.translate(name, *_accent_table())
-    return F.regexp_replace(name, r"\p{Mn}+", "")
+def strip_accents(name: Column) -> Column:
+    """Fold accented letters to ASCII: full compatibility decomposition, ligatures and full-width
+    forms included, in an Arrow batch, then marks removed."""
+    return F.regexp_replace(_compatibility_form(name), r"\p{Mn}+", "")
 
 
 def _lookup(col: Column, table: dict[str, str]) -> Column:
@@ -87,12 +65,12 @@ def _lookup(col: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col), col)
 
 
-def normalise_name(name: Column, exact: bool = False) -> Column:
+def normalise_name(name: Column) -> Column:
     """Accents, case, aliases, compounds, abbreviations, stop words, digits, punctuation.
 
     Aliases are looked up before stop words are removed.
     """
-    out = F.lower(strip_accents(name, exact))
+    out = F.lower(strip_accents(name))
     out = F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
     out = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LETTER_FOLDS.items(), out)
     out = _lookup(out, NAME_ALIASES)

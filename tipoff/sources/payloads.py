@@ -308,7 +308,7 @@ def quarter_rows(listings: DataFrame, key: str = "match_id", pairs: str = "q_sco
     )
 
 
-def finished_events(events: DataFrame, exact: bool = False) -> DataFrame:
+def finished_events(events: DataFrame) -> DataFrame:
     """Finished events with a start time and both names, names normalised.
 
     ``events`` has the event struct in ``event``.
@@ -326,8 +326,8 @@ def finished_events(events: DataFrame, exact: bool = False) -> DataFrame:
         F.to_date(parse.event_time(e["startTimestamp"])).alias("event_date"),
         home.alias("home_raw"),
         away.alias("away_raw"),
-        normalise_name(home, exact).alias("home_norm"),
-        normalise_name(away, exact).alias("away_norm"),
+        normalise_name(home).alias("home_norm"),
+        normalise_name(away).alias("away_norm"),
     )
 
 
@@ -390,7 +390,8 @@ def sharpest_lines(responses: DataFrame, key: str = "match_id") -> DataFrame:
     def odds(o: Column) -> Column:
         over, under = (o[s]["value"].try_cast("double") for s in ("over", "under"))
         return F.struct(
-            (F.abs(over - under) / F.nullif(over + under, F.lit(0.0))).alias("asymmetry"),
+            # not a number and endless odds are no odds
+            F.nullif(F.abs(over - under) / F.nullif(over + under, F.lit(0.0)), F.lit(float("nan"))).alias("asymmetry"),
             o["handicap"]["value"].try_cast("double").alias("line"),
         )
 

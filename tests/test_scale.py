@@ -6,9 +6,10 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tipoff.config import ScaleSettings
+from tipoff.config import SCALE, ScaleSettings
 from tipoff.operators import fills, metrics, scale, splits
 
 HOT = ScaleSettings(hot_rows=5)
@@ -38,10 +39,21 @@ def test_running_cells_equal_plain_window(contests, rows, inclusive):
     assert rows(plain) == rows(cells)
 
 
-def test_split_latest_hot_equals_plain(contests, rows):
-    plain = splits.split_latest(contests, "league").select("match_id", "split")
-    hot = splits.split_latest(contests, "league", limits=HOT).select("match_id", "split")
-    assert rows(plain) == rows(hot)
+def test_split_latest_equals_a_ranked_one(contests, rows):
+    latest = Window.partitionBy("league").orderBy(F.desc("scheduled_at"), F.desc("match_id"))
+    size = F.count("*").over(Window.partitionBy("league"))
+    ranked = contests.withColumn("split", F.when(
+        F.row_number().over(latest) <= F.greatest(F.lit(1), F.floor(size * 0.2)), "test").otherwise("train"))
+    for limits in (SCALE, HOT):
+        got = splits.split_latest(contests, "league", limits=limits).select("match_id", "split")
+        assert rows(got) == rows(ranked.select("match_id", "split"))
+
+
+def test_rows_without_a_league_are_in_neither_part(contests):
+    none = contests.withColumn("league", F.when(F.col("match_id") % 5 > 0, F.col("league")))
+    for limits in (SCALE, HOT):
+        got = splits.split_latest(none, "league", limits=limits).collect()
+        assert len(got) == 400 and all((r["split"] is None) == (r["league"] is None) for r in got)
 
 
 def test_every_league_has_a_test_row(contests):
@@ -87,14 +99,6 @@ def test_auc_is_null_for_one_class(spark):
     assert metrics.roc_auc(df, ["league"], "y", "p").first()["roc_auc"] is None
 
 
-def test_small_table_is_broadcast_only_below_its_bound(contests):
-    below = scale.small_table(contests.groupBy("league").count(), 10)
-    above = scale.small_table(contests.select("match_id"), 10)
-    assert "LocalRelation" in below._jdf.queryExecution().optimizedPlan().toString()
-    assert "LocalRelation" not in above._jdf.queryExecution().optimizedPlan().toString()
-    assert above.count() == 400
-
-
 def test_league_fill_without_any_league_data(spark, rows):
     df = spark.createDataFrame(
         [("a", 1.0), ("a", None), ("a", 3.0), ("b", None), ("b", None)], "league string, v double"

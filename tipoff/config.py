@@ -136,7 +136,6 @@ class ScaleSettings:
     #: an entity with more rows than this is processed in several tasks
     hot_rows: int = 2_000_000
     #: a result of at most this many rows may be joined as a broadcast
-    small_rows: int = 100_000
     #: width of the time cells a hot entity is cut into
     cell_seconds: int = 86_400
 

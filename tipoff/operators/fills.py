@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipoff.operators.scale import small_table
 
 MATCHUP_COLUMNS = (
     "home_attack_strength",
@@ -39,7 +37,7 @@ def matchup(
     df: DataFrame, levels: DataFrame, league: str, scored: str, allowed: str
 ) -> DataFrame:
     """Attack and defence relative to the league, form difference, expected pace."""
-    df = df.join(small_table(levels), league, "left")
+    df = df.join(levels, league, "left")
     points = F.nullif(F.col("league_points"), F.lit(0))
     out: dict[str, Column] = {
         "home_attack_strength": F.col(f"home_{scored}_L5") / points,
@@ -72,7 +70,7 @@ def side_means(rows: DataFrame, columns: Sequence[str], league: str = "league")
     One aggregation over the appearances, before sides are joined; ``home_<c>`` means follow
     from the home rows and ``away_<c>`` means from the road rows.
     """
-    return small_table(
+    return (
         rows.groupBy(league, "is_road").agg(
             F.count("*").alias("_n"),
             *[F.avg(c).alias(f"_m_{c}") for c in columns],
@@ -125,7 +123,7 @@ def sided_league_fills(means: DataFrame, columns: Sequence[str], league: str = "
         for side, road in (("home", False), ("away", True))
         for c in columns
     ]
-    return small_table(means.groupBy(league).agg(*fills))
+    return means.groupBy(league).agg(*fills)
 
 
 def fill_league_mean(
@@ -140,7 +138,6 @@ def fill_league_mean(
     per_league = base.groupBy(league).agg(
         F.count("*").alias("_n"), *[F.avg(c).alias(f"_m_{c}") for c in columns]
     )
-    per_league = small_table(per_league)
     everything = Window.partitionBy()
 
     def overall(c: str) -> Column:
@@ -153,7 +150,7 @@ def fill_league_mean(
     fills = per_league.select(
         league, *[F.coalesce(F.col(f"_m_{c}"), overall(c)).alias(f"_f_{c}") for c in columns]
     )
-    joined = df.join(small_table(fills), league, "left")
+    joined = df.join(fills, league, "left")
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.col(f"_f_{c}")) for c in columns}
     ).drop(*[f"_f_{c}" for c in columns])
@@ -161,9 +158,5 @@ def fill_league_mean(
 
 def league_strength(df: DataFrame, league: str, value: str, name: str) -> DataFrame:
     """Mean of ``value`` over the row's league, attached to every row."""
-    means = small_table(df.groupBy(league).agg(F.avg(value).alias(name)))
+    means = df.groupBy(league).agg(F.avg(value).alias(name))
     return df.join(means, league, "left")
-
-
-def any_null(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.operators.scale import running, small_table
+from tipoff.operators.scale import running
 
 # Fixed value: probabilities are kept this far from 0 and 1 in the log loss.
 PROBABILITY_FLOOR = 2.220446049250313e-16
@@ -29,7 +29,7 @@ def exact_quantiles(
         {"_upto": ("sum", F.col("_n"))},
         cell=F.floor(F.col(value) / cell_width),
     )
-    sizes = small_table(counts.groupBy(*by).agg(F.sum("_n").alias("_all")))
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
     q = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     ranks = (
         sizes.withColumn("q", q)
@@ -58,7 +58,7 @@ def median_line(df: DataFrame, by: Sequence[str], target: str) -> DataFrame:
 
     Needs ``split``. A total equal to the line is labelled 0 and settles as a push.
     """
-    lines = small_table(median_by(df.where(F.col("split") == "train"), by, target, "line"))
+    lines = median_by(df.where(F.col("split") == "train"), by, target, "line")
     return df.join(lines, list(by), "left").withColumn(
         "over_hit", (F.col(target) > F.col("line")).cast("int")
     )

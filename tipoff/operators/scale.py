@@ -13,20 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipoff.config import SCALE
-
-
-def small_table(df: DataFrame, max_rows: int = SCALE.small_rows) -> DataFrame:
-    """``df`` as a broadcast table if it really is small, else ``df`` unchanged.
-
-    The result is computed once, up to one row past the bound, so its size is measured and
-    not guessed. Past the bound the caller's join stays an ordinary shuffled join, which
-    adaptive execution may still split or convert.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+from tipoff.session import staged
 
 
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
@@ -147,10 +134,12 @@ def rank_cut(
         )
         cells = counts.withColumn("_upto", F.sum("_n").over(upto))
         hit = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
-        target = small_table(
+        # written: each level reads the one before twice
+        target = staged(
             (cells.join(target, on, "inner") if on else cells.crossJoin(target))
             .where(hit)
-            .select(*on, *extra, name, (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
+            .select(*on, *extra, name, (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")),
+            "rank-cut",
         )
         found.append(name)
     return target.drop("_rank")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.config import SCALE, ScaleSettings
-from tipoff.operators.scale import rank_cut, small_table
+from tipoff.operators.scale import rank_cut
 from tipoff.operators.timeline import micros
 
 TEST_FRACTION = 0.20
@@ -40,17 +40,12 @@ def split_latest(
 ) -> DataFrame:
     """Add ``split``: the last ``max(1, int(n * fraction))`` rows of each group are ``test``.
 
-    When a group is too long for one task the cut row is located by counting, and each row is
-    compared with its group's cut: the contests themselves are never sorted or shuffled.
+    One plan for every size: the cut row of a group is located by counting, and each row is
+    compared with its group's cut, so contests are never sorted. A row without a group belongs
+    to neither part; its ``split`` is NULL.
     """
-    sizes = small_table(df.groupBy(group).agg(F.count("*").alias("_n")))
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_n"))
     n_test = F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= limits.hot_rows:
-        latest = Window.partitionBy(group).orderBy(F.col(ts).desc(), F.col(tie).desc())
-        ranked = df.withColumn("_r", F.row_number().over(latest)).join(sizes, group, "left")
-        return ranked.withColumn(
-            "split", F.when(F.col("_r") <= n_test, F.lit("test")).otherwise(F.lit("train"))
-        ).drop("_r", "_n")
     wanted = sizes.select(group, (F.col("_n") - n_test + 1).alias("_rank"))
     cuts = rank_cut(df, [group], _levels(ts, tie, limits), wanted).select(
         group, F.col("_l1").alias("_cut_us"), F.col("_l3").alias("_cut_tie")
@@ -58,7 +53,7 @@ def split_latest(
     joined = df.join(cuts, group, "left")
     is_test = _at_or_after(ts, tie, "_cut_us", "_cut_tie")
     return joined.withColumn(
-        "split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))
+        "split", F.when(is_test, F.lit("test")).when(F.col(group).isNotNull(), F.lit("train"))
     ).drop("_cut_us", "_cut_tie")
 
 

@@ -48,7 +48,7 @@ def matchup_strength(d):
     rolled = finish(lagged_means(timeline(rows), ["pts"], [5]))
     wide = rejoin_sides(rolled, ["pts_L5"], keep=("league",))
     levels = fills.league_levels(d.contests, "league")
-    joined = wide.join(fills.small_table(levels), "league", "left")
+    joined = wide.join(levels, "league", "left")
     out = joined.select(
         "match_id",
         "league",

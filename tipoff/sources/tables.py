@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tipoff.config import DEFAULT_LEAGUE, FEATURES, SEASON_PATTERNS
 from tipoff.operators.periods import regulation_periods
-from tipoff.operators.scale import small_table
 
 ADVANCED_COLUMNS = (
     "possessions",
@@ -22,12 +21,6 @@ ADVANCED_COLUMNS = (
 )
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
-    """A stored table from parquet, ORC, CSV or JSON files."""
-    reader = spark.read.format(fmt).options(**options)
-    return (reader.schema(schema) if schema else reader).load(path)
-
-
 def read_database(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
     """A table of a relational database; pass partition options for a parallel read."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
@@ -99,7 +92,7 @@ def season_periods(
 
 def with_team_names(matches: DataFrame, teams: DataFrame) -> DataFrame:
     """Inner join to the team dimension for both sides."""
-    names = small_table(teams.select("team_id", "name"))
+    names = teams.select("team_id", "name")
     for side in ("home", "away"):
         named = names.select(F.col("team_id").alias(f"{side}_team_id"), F.col("name").alias(f"{side}_team"))
         matches = matches.join(named, f"{side}_team_id", "inner")

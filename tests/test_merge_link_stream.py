@@ -111,19 +111,53 @@ def test_stream_is_incremental_and_idempotent(spark):
     )
     _land(spark, landing, [(0, 1, _payload(70)), (1, 1, _payload(70)), (2, 1, "{}")])
     enrichment.run_available(spark, landing, matches, root, state)
-    first = {(r["match_id"], r["team_id"]): r["possessions"] for r in sinks.snapshot(spark, root).collect()}
+    first = {(r["match_id"], r["team_id"]): r["possessions"] for r in enrichment.stored(spark, root).collect()}
     assert set(first) == set(itertools.chain([(0, 10), (0, 20)], [(1, 11), (1, 21)]))
     assert round(first[(0, 10)], 6) == round(70 + 0.44 * 20 - 8 + 10, 6)
     _land(spark, landing, [(1, 3, _payload(60)), (1, 2, _payload(50)), (3, 1, _payload(80))])
     enrichment.run_available(spark, landing, matches, root, state)
     version = sinks.latest_version(spark, root)
-    second = {(r["match_id"], r["team_id"]): r["possessions"] for r in sinks.snapshot(spark, root).collect()}
+    second = {(r["match_id"], r["team_id"]): r["possessions"] for r in enrichment.stored(spark, root).collect()}
     assert len(second) == 6 and second[(0, 10)] == first[(0, 10)]
     assert round(second[(1, 11)], 6) == round(60 + 0.44 * 20 - 8 + 10, 6)
     enrichment.run_available(spark, landing, matches, root, state)
     assert sinks.latest_version(spark, root) == version
 
 
+def test_first_listed_row_of_a_repeated_key_wins(spark, rows):
+    a = spark.createDataFrame([(1, "z", 0), (1, "a", 1), (1, "b", 2)], "id long, src string, at long")
+    b = spark.createDataFrame([(1, "c", 0)], "id long, src string, at long")
+    assert rows(merge.merge_sources([a, b], "id", ["at"]), "id", "src") == [(1, "z")]
+
+
+def test_late_payloads_never_replace_newer_ones(spark):
+    landing, root, state, rejects = (fresh_path(spark, n) for n in ("land", "table", "state", "rejects"))
+    matches = spark.createDataFrame(
+        [(i, 10 + i, 20 + i, 100, 90) for i in range(6)],
+        "match_id long, home_team_id long, away_team_id long, home_score_final int, away_score_final int",
+    )
+    for data in ([(1, 3, _payload(70)), (2, 1, _payload(70))], [(1, 2, _payload(50)), (3, 1, "{}")], [(1, 4, "{}"), (2, 2, _payload(60))]):
+        _land(spark, landing, data)
+        enrichment.run_available(spark, landing, matches, root, state, rejects=rejects)
+    got = {(r["match_id"], r["team_id"]): (r["seq"], round(r["possessions"] - 0.44 * 20 - 2, 6)) for r in enrichment.stored(spark, root).collect()}
+    assert got[(1, 11)] == (3, 70) and got[(2, 12)] == (2, 60) and len(got) == 4
+    assert enrichment.run_counts(spark, root, rejects) == {"enriched": 4, "no full-game block": 2}
+
+
+def test_only_touched_parts_are_written(spark):
+    root = fresh_path(spark, "table")
+
+    def rows(n, seq):
+        return spark.createDataFrame([(i, i, 1.0 * seq, seq) for i in n], "match_id long, team_id long, possessions double, seq long")
+
+    enrichment.merge_into(spark, root, rows(range(200), 1))
+    enrichment.merge_into(spark, root, rows([7], 2))
+    parts = sinks.newest_parts(spark, root, "bucket")
+    assert sum("version=2" in path for path in parts.values()) == 1 and len(parts) > 50
+    assert {r["possessions"] for r in enrichment.stored(spark, root).where("match_id = 7").collect()} == {2.0}
+    assert enrichment.stored(spark, root).count() == 200
+
+
 def test_rejected_payloads_have_reasons(spark):
     df = spark.createDataFrame([(1, 1, "{}"), (2, 1, _payload(20))], enrichment.PAYLOAD_SCHEMA)
     got = {r["match_id"]: r["reject_reason"] for r in enrichment.rejected(df).collect()}

@@ -6,7 +6,7 @@ key and returns the next snapshot. Writers in ``sources.sinks`` publish it under
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,27 +103,22 @@ def patch(base: DataFrame, changes: DataFrame, key: str, columns: Sequence[str])
     ).select(*base.columns)
 
 
-def set_columns(base: DataFrame, changes: DataFrame, key: str, values: Mapping[str, Column]) -> DataFrame:
-    """Set constant expressions on the rows whose key is in ``changes``."""
-    hit = changes.select(key).distinct().withColumn("_hit", F.lit(True))
-    joined = base.join(hit, key, "left")
-    return joined.withColumns(
-        {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}
-    ).select(*base.columns)
+def merge_sources(sources: Sequence[DataFrame], key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Union of lists read in order; the first list that has a key provides its row.
 
-
-def merge_sources(sources: Sequence[DataFrame], key: str) -> DataFrame:
-    """Union of lists read in order; the first list that has a key provides its row."""
+    ``order`` are the columns that tell which row a list names first, as a key may come twice in it.
+    """
     tagged = [df.withColumn("source_order", F.lit(i)) for i, df in enumerate(sources)]
     out = tagged[0]
     for df in tagged[1:]:
         out = out.unionByName(df)
-    return first_per_key(out, [key], ["source_order"])
+    return first_per_key(out, [key], ["source_order", *order])
 
 
-def outcome_counts(df: DataFrame, league: str, outcome: str) -> DataFrame:
-    return df.groupBy(league, outcome).agg(F.count("*").alias("n"))
+def stamped(changes: DataFrame, at: Column | None = None) -> DataFrame:
+    """``changes`` with the time they were made, which ``upsert`` then stores."""
+    return changes.withColumn("updated_at", F.current_timestamp() if at is None else at)
 
 
-def distinct_keys(df: DataFrame, key: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).select(key).distinct()
+def outcome_counts(df: DataFrame, league: str, outcome: str) -> DataFrame:
+    return df.groupBy(league, outcome).agg(F.count("*").alias("n"))

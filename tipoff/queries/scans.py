@@ -354,7 +354,7 @@ def merged_sources(d):
         return df.groupBy("user_id").agg(agg("event_id").alias("event_id"))
 
     parts = [source("purchase", F.max), source("signup", F.max), source(None, F.min)]
-    return merge.merge_sources(parts, "user_id")
+    return merge.merge_sources(parts, "user_id", ["event_id"])
 
 
 @query(
@@ -497,7 +497,8 @@ def csv_sink(d):
         SELECT coalesce(a.match_id, c.match_id) AS match_id, coalesce(a.team_id, c.team_id) AS team_id,
                CASE WHEN c.match_id IS NOT NULL THEN c.possessions ELSE a.possessions END AS possessions,
                CASE WHEN a.match_id IS NULL THEN c.turnovers ELSE a.turnovers END AS turnovers,
-               a.three_pointers_made
+               a.three_pointers_made,
+               CASE WHEN c.match_id IS NOT NULL THEN 2 ELSE 1 END AS updated_at
         FROM advanced a FULL JOIN changes c ON a.match_id = c.match_id AND a.team_id = c.team_id
         """,
         changes=CHANGES,
@@ -505,7 +506,8 @@ def csv_sink(d):
 )
 def keyed_upsert(d):
     base = d.advanced.select("match_id", "team_id", "possessions", "turnovers", "three_pointers_made")
-    return merge.upsert(base, _changes(d), ["match_id", "team_id"], immutable=["turnovers"])
+    base = merge.stamped(base, F.lit(1))
+    return merge.upsert(base, merge.stamped(_changes(d), F.lit(2)), ["match_id", "team_id"], immutable=["turnovers"])
 
 
 @query(

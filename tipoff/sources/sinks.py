@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tipoff.session import fresh_path
 
@@ -14,36 +13,47 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return path
-
-
-def publish(df: DataFrame, root: str) -> int:
+def publish(df: DataFrame, root: str, partition_by: str | None = None) -> int:
     """Write the next snapshot of a table below ``root`` and return its version.
 
     Readers take the largest version with a success marker, so a failed write is never seen
-    and the snapshot a job reads is never overwritten by it.
+    and the snapshot a job reads is never overwritten by it. With ``partition_by`` a version holds
+    only the parts that were written, see ``newest_parts``.
     """
     version = (latest_version(df.sparkSession, root) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{root}/version={version}")
     return version
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
+def _folders(spark: SparkSession, path: str) -> dict[str, str]:
+    """Names of the folders in a folder, with their paths."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            found.append(int(name.split("=")[1]))
-    return max(found, default=None)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listStatus(at) if fs.exists(at) else []
+    return {s.getPath().getName(): s.getPath().toString() for s in found if s.isDirectory()}
+
+
+def newest_parts(spark: SparkSession, root: str, column: str) -> dict[str, str]:
+    """For each value of ``column`` the folder of its newest complete version."""
+    out: dict[str, str] = {}
+    for version in range(1, (latest_version(spark, root) or 0) + 1):
+        if is_complete(spark, f"{root}/version={version}"):
+            for name, path in _folders(spark, f"{root}/version={version}").items():
+                if name.startswith(f"{column}="):
+                    out[name.split("=", 1)[1]] = path
+    return out
+
+
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    versions = {name: path for name, path in _folders(spark, root).items() if name.startswith("version=")}
+    return max((int(n.split("=")[1]) for n, path in versions.items() if is_complete(spark, path)), default=None)
 
 
 def snapshot(spark: SparkSession, root: str) -> DataFrame | None:
@@ -65,7 +75,3 @@ def round_trip_csv(df: DataFrame) -> DataFrame:
     """``df`` after a write to and a read from CSV with its own schema."""
     path = write_csv(df, fresh_path(df.sparkSession, "csv"))
     return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
-
-
-def with_updated_at(df: DataFrame) -> DataFrame:
-    return df.withColumn("updated_at", F.current_timestamp())

@@ -6,39 +6,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tipoff.operators.merge import last_per_key, upsert
+from tipoff.operators.merge import last_per_key
+from tipoff.session import staged
 from tipoff.sources import payloads, sinks
 
 PAYLOAD_SCHEMA = "match_id bigint, seq bigint, payload string"
 ROW_KEY = ["match_id", "team_id"]
+#: Parts of the stored table. A batch rewrites only those that its contests fall into.
+BUCKETS = 64
 
 
-def enrich(batch: DataFrame, matches: DataFrame) -> DataFrame:
-    """Advanced rows of a set of payloads: strict box score, ratings, the last per key."""
-    box = payloads.match_statistics(
+def box_scores(batch: DataFrame) -> DataFrame:
+    return payloads.match_statistics(
         batch.withColumn("statistics", payloads.parse_statistics(F.col("payload")))
-    )
+    ).drop("payload")
+
+
+def enrich(batch: DataFrame, matches: DataFrame) -> DataFrame:
+    """Advanced rows of a set of payloads with their ``seq``: strict box score, ratings, the last per key."""
     facts = matches.select(
         "match_id", "home_team_id", "away_team_id", "home_score_final", "away_score_final"
     )
-    usable = last_per_key(
-        box.where(F.col("reject_reason").isNull()).drop("payload"), ["match_id"], ["seq"]
-    )
-    return payloads.advanced_rows(usable.withColumn("reject_reason", F.lit(None)).join(facts, "match_id"))
+    usable = last_per_key(box_scores(batch).where(F.col("reject_reason").isNull()), ["match_id"], ["seq"])
+    rows = payloads.advanced_rows(usable.withColumn("reject_reason", F.lit(None)).join(facts, "match_id"))
+    return rows.join(usable.select("match_id", "seq"), "match_id")
 
 
 def rejected(batch: DataFrame) -> DataFrame:
-    box = payloads.match_statistics(
-        batch.withColumn("statistics", payloads.parse_statistics(F.col("payload")))
-    )
+    box = box_scores(batch)
     return box.where(F.col("reject_reason").isNotNull()).select("match_id", "seq", "reject_reason")
 
 
-def merge_into(spark: SparkSession, root: str, changes: DataFrame) -> int:
-    """Publish the next snapshot of the table at ``root`` with ``changes`` merged in."""
-    base = sinks.snapshot(spark, root)
-    merged = changes if base is None else upsert(base, changes, ROW_KEY)
-    return sinks.publish(merged, root)
+def _bucket(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("match_id"), F.lit(BUCKETS)).cast("int"))
+
+
+def _read(spark: SparkSession, root: str, buckets: list[int] | None = None) -> DataFrame | None:
+    parts = sinks.newest_parts(spark, root, "bucket")
+    paths = [path for bucket, path in parts.items() if buckets is None or int(bucket) in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def stored(spark: SparkSession, root: str) -> DataFrame | None:
+    """The table below ``root``: the newest version of each part."""
+    return _read(spark, root)
+
+
+def merge_into(spark: SparkSession, root: str, changes: DataFrame) -> None:
+    """Merge rows into the table at ``root``; of rows of one key the one with the largest ``seq`` stays.
+
+    A late payload never replaces a newer one, in whatever batch it comes. Only the touched parts
+    are read and written, so a batch costs what it changes and not what is stored.
+    """
+    changes = staged(_bucket(changes), "enriched")
+    touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    rows = changes.withColumn("_new", F.lit(1))
+    base = _read(spark, root, touched)
+    if base is not None:
+        rows = rows.unionByName(_bucket(base).withColumn("_new", F.lit(0)))
+    merged = last_per_key(rows, ROW_KEY, ["seq", "_new"]).drop("_new")
+    sinks.publish(merged, root, partition_by="bucket")
 
 
 def run_available(
@@ -48,19 +77,21 @@ def run_available(
     root: str,
     checkpoint: str,
     files_per_batch: int | None = None,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Process every landed file not seen yet, then stop; a rerun goes on from there.
 
-    The merge is keyed and keeps the last row per key, so a batch repeated after a failure
-    gives the same table.
+    A batch repeated after a failure gives the same table. Payloads that cannot be used are
+    written below ``rejects`` with the reason and their batch, one folder for each batch.
     """
     reader = spark.readStream.schema(PAYLOAD_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        changes = enrich(batch, matches)
-        merge_into(spark, root, changes)
+        merge_into(spark, root, enrich(batch, matches))
+        if rejects:
+            rejected(batch).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
     query = (
         reader.json(landing)
@@ -71,3 +102,12 @@ def run_available(
     )
     query.awaitTermination()
     return query
+
+
+def run_counts(spark: SparkSession, root: str, rejects: str) -> dict[str, int]:
+    """Rows stored, and payloads rejected by reason."""
+    table = stored(spark, root)
+    out = {"enriched": table.count() if table is not None else 0}
+    for row in spark.read.parquet(rejects).groupBy("reject_reason").count().collect():
+        out[row["reject_reason"]] = row["count"]
+    return out

@@ -96,7 +96,7 @@ def score_features(
     limits: ScaleSettings = SCALE,
     fit_on: str | None = None,
 ) -> DataFrame:
-    """Every model column of ``names.ALL_FEATURES`` per contest, with totals and the line.
+    """Every column of ``names.COLUMN_GROUPS`` per contest, with totals and the line.
 
     One scan of the contests gives both appearances, one partitioning by team serves all
     rolling, calendar and venue columns, and one join by contest puts the sides together. The appearances are written once: the fill means are taken from them before the

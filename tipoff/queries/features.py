@@ -196,12 +196,12 @@ def score_table_checked(d):
     "pf9_model_inputs",
     f"""
     SELECT league, count(*) AS n, round(CAST(sum(home_is_b2b) AS DOUBLE), 6) AS s_b2b, round(sum(home_pts_scored_game_EMA5), 4) AS s_ema
-    FROM ({FEATURE_SQL}) WHERE league = '1-URGENT' GROUP BY league
+    FROM ({FEATURE_SQL}) GROUP BY league
     """,
 )
 def model_inputs(d):
-    table = kept_score_table(d).where("league = '1-URGENT'")
-    cols = columns.model_columns(table.columns, columns.excluded_for_league("NBA"))
+    table = kept_score_table(d)
+    cols = columns.inputs_of(columns.league_groups("NBA"), table.columns)
     picked = table.select(*cols)
     return picked.groupBy("league").agg(
         F.count("*").alias("n"),
@@ -228,7 +228,7 @@ def group_columns(d):
     watched = ["home_is_b2b", "home_box_tpa_L5", "home_ortg_L3", "home_win_L3"]
     parts = []
     for league, key in stand_in.items():
-        allowed = set(columns.model_columns(table.columns, columns.excluded_for_league(key)))
+        allowed = set(columns.inputs_of(columns.league_groups(key), table.columns))
         for c in (w for w in watched if w in allowed):
             rows = table.where(F.col("league") == league)
             parts.append(rows.groupBy("league").agg(F.count(c).alias("n_known")).withColumn("feature", F.lit(c)))
@@ -289,12 +289,15 @@ PACE_OUT = [f"{c}_L{k}" for c in PACE_STATS_SQL for k in (3, 5, 10)]
 PACE_SIDED = {f"{s}_{c}": f"{t}.{c}" for s, t in (("home", "h"), ("away", "a")) for c in PACE_OUT}
 PACE_EXTRA = {
     "home_attack_strength": "h.pts_scored_L5 / l.pts",
+    "away_attack_strength": "a.pts_scored_L5 / l.pts",
+    "home_defense_strength": "h.pts_allowed_L5 / l.pts",
     "away_defense_strength": "a.pts_allowed_L5 / l.pts",
     "win_rate_diff_L5": "h.win_L5 - a.win_L5",
     "expected_matchup_pace": "h.pace_L5 + a.pace_L5 - l.pace",
     "q1_avg_pace": "q1_avg_pace",
     "game_avg_pace": "game_avg_pace",
 }
+PACE_COLUMNS = [*PACE_SIDED, *(c for c in PACE_EXTRA if c != "q1_avg_pace"), "is_playoff", "home_days_rest", "away_days_rest"]
 PACE_VIEWS = dict(
     g=f"SELECT match_id, max(CASE WHEN period_type = 'QUARTER' THEN 1 ELSE 0 END) AS has_q, {PACE_SUMS}, {PACE_Q}, "
     "max(CASE WHEN period_type = 'GAME' THEN home_pace END) AS hg, max(CASE WHEN period_type = 'GAME' THEN away_pace END) AS ag "
@@ -352,17 +355,18 @@ def complete_cases(d):
 
 @query(
     "pf13_column_helpers",
-    f"SELECT count(home_pace_L3) AS n_l3, count(game_avg_pace) AS n_target, CAST(63 AS BIGINT) AS n_columns FROM ({PACE_SQL})",
+    f"""
+    SELECT unnest([{', '.join(f"'{c}'" for c in PACE_COLUMNS)}]) AS name, unnest([{', '.join(f'count({c})' for c in PACE_COLUMNS)}]) AS n_known
+    FROM ({PACE_SQL})
+    """,
 )
 def column_helpers(d):
     table = pace_table(d)
     inputs = columns.rolling_columns(table.columns)
-    targets = [t for group in columns.target_columns().values() for t in group]
-    return table.select(*inputs, *targets).agg(
-        F.count("home_pace_L3").alias("n_l3"),
-        F.count("game_avg_pace").alias("n_target"),
-        F.lit(len(inputs)).cast("bigint").alias("n_columns"),
-    )
+    targets = [t for t in columns.target_columns()["game"] if t in table.columns and t != "game_total"]
+    counts = table.agg(*[F.count(c).alias(c) for c in (*inputs, *targets)])
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n_known")) for c in (*inputs, *targets)]))
+    return counts.select(named.alias("r")).select("r.name", "r.n_known")
 
 
 # -- models: row counts only, trees of another library give other numbers -------------------------
@@ -377,7 +381,7 @@ def _dataset(d):
 
 def _league_inputs(d):
     rows = _dataset(d)
-    return rows, models.Inputs.of(rows.columns, columns.excluded_for_league(None))
+    return rows, models.Inputs.of(rows.columns, columns.league_groups(None))
 
 
 @query("ml1_weighted_classifier")

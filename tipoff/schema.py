@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 MATCHES = """
     match_id bigint, external_id string, home_team_id bigint, away_team_id bigint,
     scheduled_at timestamp, season string, tournament_id int, tournament_name string,
@@ -61,3 +64,15 @@ ALLOWED = {
     "season_type": ["REGULAR", "PLAYOFFS", "PRESEASON"],
     "period_type": ["QUARTER", "OVERTIME", "GAME"],
 }
+
+
+def unknown_values(df: DataFrame) -> DataFrame:
+    """Rows with a value that its column may not take, with ``bad_column`` naming the first such one.
+
+    Columns are those of ``ALLOWED`` that the table has; NULL is allowed.
+    """
+    bad = [
+        F.when(~F.upper(c).isin(values), F.lit(c)) for c, values in ALLOWED.items() if c in df.columns
+    ]
+    named = df.withColumn("bad_column", F.coalesce(*bad, F.lit(None).cast("string")))
+    return named.where(F.col("bad_column").isNotNull())

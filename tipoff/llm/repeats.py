@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.llm.common import query, settle, table, whole
@@ -144,22 +144,27 @@ def _next_pass(depth: Depth, size: int) -> Callable:
 def radix_pass(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
     """(ref, node) of the nodes whose windows are all repeated, and of those to be cut finer.
 
-    Nodes are dealt by their core. A core found once ends there: none of its windows is repeated.
-    Nodes that agree in the outer digit as well are repeated whole. The others of a core go on, and
-    with them one node for each outer digit found twice, as their partners may be among those.
+    A core found once ends there: none of its windows is repeated. Nodes that agree in the outer
+    digit as well are repeated whole. The others of a core go on, and with them one node for each
+    outer digit found twice, as their partners may be among those. Cores are counted with partial
+    sums and joined back, so a core that a third of all nodes share is split over tasks.
     """
     known = rows.where("copies = 0").select("ref", "node")
-    by_core, by_both = Window.partitionBy("core"), Window.partitionBy("core", "outer")
-    judged = (
-        rows.where("copies > 0")
-        .withColumn("in_core", F.sum("copies").over(by_core))
-        .where("in_core > 1")
-        .withColumn("in_both", F.sum("copies").over(by_both))
-        .withColumn("spot", F.row_number().over(by_both.orderBy("ref", "node")))
+    counted = rows.where("copies > 0")
+    cores = counted.groupBy("core").agg(F.sum("copies").alias("in_core")).where("in_core > 1")
+    alive = settle(counted.join(cores, "core"), "radix-alive")
+    digits = alive.groupBy("core", "outer").agg(
+        F.sum("copies").alias("in_both"), F.min(F.struct("ref", "node")).alias("first")
+    )
+    judged = settle(
+        alive.join(digits, ["core", "outer"])
+        .withColumn("is_first", F.col("first") == F.struct("ref", "node"))
+        .where("in_both > 1 OR is_first")
+        .select("ref", "node", "in_core", "in_both", "is_first"),
+        "radix",
     )
-    judged = settle(judged.where("in_both > 1 OR spot = 1").select("ref", "node", "in_core", "in_both", "spot"), "radix")
     whole_nodes = judged.where("in_both > 1").select("ref", "node").unionByName(known)
-    rest = judged.where("in_core > in_both AND spot = 1").select("ref", "node") if not last else None
+    rest = judged.where("in_core > in_both AND is_first").select("ref", "node") if not last else None
     return whole_nodes, rest
 
 

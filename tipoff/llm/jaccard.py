@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ ELEMENT_BITS = 48
 class Bound:
     """Documents link when 100 * intersection >= percent * union."""
 
-    percent: int = 90
-    growth: float = 1.4
+    percent: int = 80
+    growth: float = 1.25
 
     def shared(self, sizes: np.ndarray) -> np.ndarray:
         """The least intersection of two linked sets whose sizes add up to ``sizes``."""
@@ -58,9 +59,28 @@ class Bound:
         small = edges[1:] - 1
         sizes = small + small * 100 // self.percent
         apart = sizes - 2 * self.shared(sizes)
-        zones = apart + 1
-        spare = 2 + zones // 100
-        return zones + spare, spare
+        spare = np.array([_spare(int(a) + 1, int(low)) for a, low in zip(apart, edges[:-1], strict=True)])
+        return apart + 1 + spare, spare
+
+
+@lru_cache(maxsize=4096)
+def _spare(zones: int, size: int) -> int:
+    """How many zones to add so that few sets of ``size`` elements have more empty ones than that.
+
+    More zones are smaller, and more of them empty: the first number is taken that leaves less than
+    one set in 100, or else the one that leaves the fewest. Empty zones are counted as Poisson.
+    """
+    best = (1.0, 1)
+    for spare in range(1, 400):
+        rate = (zones + spare) * math.exp(-size / (zones + spare))
+        term = total = math.exp(-rate)
+        for k in range(1, spare + 1):
+            term *= rate / k
+            total += term
+        if 1 - total < 0.01:
+            return spare
+        best = min(best, (1 - total, spare))
+    return best[1]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, hasher: SpanHash, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,12 +338,13 @@ def verified_links(members: DataFrame, bound: Bound, block_size: int) -> DataFra
 
 
 def near_groups(
-    docs: DataFrame, *, width: int = 3, percent: int = 90, block_size: int = 2_000_000
+    docs: DataFrame, *, width: int = 5, percent: int = 80, block_size: int = 2_000_000
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
-    Words are lower-cased for A-Z and parted at ASCII white space; a document's set is its distinct
-    runs of ``width`` words. Documents with equal sets are one node. Nodes that agree in a zone of
+    Two documents link when their sets have at least ``percent`` of their union in common. Words are
+    lower-cased for A-Z and parted at ASCII white space; a document's set is its distinct runs of
+    ``width`` words, or its whole sequence if it has fewer. Documents with equal sets are one node. Nodes that agree in a zone of
     their sets become one candidate class, which holds every true component whole; in a class, a
     tree over counts of 64 shingle groups bounds the overlap by summed minima, and what is left is
     compared element by element. Only links that join components are kept.
@@ -343,6 +364,8 @@ def near_groups(
 
     postings = base.select("node", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    # Written before it is joined: a join right above an aggregate cannot be split by key.
+    shared = settle(shared, "shared-keys")
     edges = postings.join(shared, "key").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     classes = components(edges)
     classes = classes.select("node", F.col("root").alias("super")).unionByName(
@@ -368,4 +391,4 @@ def near_groups(
 
 @query("op5_jaccard_join")
 def op5(spark, sf_dir):
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents"), width=3, percent=90)

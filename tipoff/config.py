@@ -127,6 +127,12 @@ class TreeSettings:
     learning_rate: float = 0.05
     depth: int = 5
     seed: int = 42
+    #: the fewest training rows of a leaf; stands in for the leaf penalty that MLlib lacks
+    min_leaf_rows: int = 1
+    #: the share of rows held out for early stopping
+    test_share: float = 0.20
+    #: an iteration that gains less than this on the held-out rows is the last one
+    tolerance: float = 0.01
 
 
 @dataclass(frozen=True)
@@ -143,4 +149,8 @@ class ScaleSettings:
 FEATURES = FeatureSettings()
 BETS = BetSettings()
 TREES = TreeSettings()
+#: the pace model's own size
+PACE_TREES = TreeSettings(iterations=1000, depth=6, tolerance=0.0001)
+#: size of all trees in registered queries, which fit dozens of models on small test tables
+QUERY_TREES = TreeSettings(iterations=3, depth=3)
 SCALE = ScaleSettings()

@@ -785,9 +785,28 @@ def bootstrap_indexed(d):
     )
 
 
-@query("ev3_bootstrap_counts")
+@query(
+    "ev3_bootstrap_counts",
+    sql(
+        "predictions",
+        "SELECT league, threshold, n, roi, true AS contained, true AS again FROM report",
+        settled=ALL_SETTLED,
+        report=REPORT,
+    ),
+)
 def bootstrap_counts(d):
-    return settle.bootstrap_interval(settle.sweep(d.predictions, ["league"]), ["league"])
+    """All draws: the interval contains the return, and a second run gives the same bounds."""
+    report = settle.sweep(d.predictions, ["league"])
+    one = settle.bootstrap_interval(report, ["league"])
+    two = settle.bootstrap_interval(report, ["league"]).select(
+        "league", "threshold", F.col("roi_ci_low").alias("low"), F.col("roi_ci_high").alias("high")
+    )
+    contained = F.when(F.col("n") == 0, F.col("roi_ci_low").isNull()).otherwise(
+        (F.col("roi_ci_low") <= F.col("roi")) & (F.col("roi") <= F.col("roi_ci_high"))
+    )
+    again = F.col("low").eqNullSafe(F.col("roi_ci_low")) & F.col("high").eqNullSafe(F.col("roi_ci_high"))
+    out = one.join(two, ["league", "threshold"])
+    return rounded(out.select("league", "threshold", "n", "roi", contained.alias("contained"), again.alias("again")), "roi")
 
 
 @query(

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tipoff.queries import aggregates, features, payloads, scans, windows  # noqa: F401
+from tipoff.queries import aggregates, features, models, payloads, scans, windows  # noqa: F401
 from tipoff.queries.registry import callables, oracles  # noqa: F401

@@ -7,15 +7,15 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.config import BETS, FEATURES, TREES
-from tipoff.operators import grid, metrics, periods, settle
-from tipoff.plans import backtest, columns, features, models
+from tipoff.config import FEATURES
+from tipoff.operators import periods, settle
+from tipoff.plans import backtest, columns, features
 from tipoff.queries.aggregates import ALL_SETTLED, QUARTERS, REPORT, WIDE
 from tipoff.queries.registry import as_long, query, rounded
 from tipoff.queries.views import sql
 from tipoff.queries.windows import GAP, W, ema_sql
-from tipoff.session import fresh_path, staged
-from tipoff.sources import sinks, tables
+from tipoff.session import staged
+from tipoff.sources import tables
 
 # -- the score feature table in SQL ---------------------------------------------------------------
 
@@ -369,117 +369,10 @@ def column_helpers(d):
     return counts.select(named.alias("r")).select("r.name", "r.n_known")
 
 
-# -- models: row counts only, trees of another library give other numbers -------------------------
-
-SMALL_TREES = replace(TREES, iterations=3, depth=3)
-LOOSE = replace(BETS, draws=500)
-
-
 def _dataset(d):
     return backtest.dataset(kept_score_table(d))
 
 
-def _league_inputs(d):
-    rows = _dataset(d)
-    return rows, models.Inputs.of(rows.columns, columns.league_groups(None))
-
-
-@query("ml1_weighted_classifier")
-def weighted_classifier(d):
-    from tipoff.functions.boxmath import season_weight
-
-    rows, inputs = _league_inputs(d)
-    weighted = rows.withColumn("weight", season_weight(F.col("scheduled_at")))
-    model = models.fit_classifier(weighted, inputs, weight="weight", trees=SMALL_TREES)
-    scored = models.predict_probability(model, rows, inputs)
-    return metrics.classification_metrics(scored, ["league"], "over_hit", "prob")
-
-
-@query("ml2_absolute_error_regressor")
-def absolute_regressor(d):
-    return backtest.validate_by_league(kept_score_table(d), SMALL_TREES)
-
-
-@query("ml3_early_stopped_pace_model")
-def early_stopped(d):
-    complete = features.complete_cases(pace_table(d))
-    model, inputs, split = backtest.pace_model(complete, trees=SMALL_TREES)
-    scored = models.predict_value(model, split.where("split = 'test'"), inputs)
-    return metrics.error_metrics(scored, ["split"], "q1_avg_pace", "predicted")
-
-
-@query("snk6_model_round_trip")
-def model_round_trip(d):
-    rows, inputs = _league_inputs(d)
-    model = models.fit_classifier(rows, inputs, trees=SMALL_TREES)
-    loaded = sinks.load_model(sinks.save_model(model, fresh_path(d.spark, "model")))
-    scored = models.predict_probability(loaded, rows, inputs)
-    return scored.groupBy("league").agg(F.count("prob").alias("n"), F.avg("prob").alias("mean_prob"))
-
-
-@query("ml4_importance_audit")
-def importance_audit(d):
-    table = backtest.importance_audit(_dataset(d), ["1-URGENT", "2-HIGH"], LOOSE, SMALL_TREES)
-    return grid.dead_weight(table, 0.5)
-
-
-@query("ev6_league_backtest")
-def league_backtest(d):
-    specs = {"one": (["1-URGENT"], []), "rest": ([], ["1-URGENT", "2-HIGH"])}
-    return backtest.league_backtest(_dataset(d), specs, LOOSE, SMALL_TREES, seasonal=True)
-
-
-@query("ev4_grid_game")
-def grid_game(d):
-    leagues = ["1-URGENT", "2-HIGH"]
-    predictions, _ = backtest.grid_cells(
-        kept_score_table(d), "game", leagues, ["BASE", "BASE+FATIGUE+TEAM_ADV"], LOOSE, SMALL_TREES
-    )
-    return backtest.grid_table(predictions, LOOSE)
-
-
-@query("ev4_grid_first_half")
-def grid_first_half(d):
-    predictions, _ = backtest.grid_cells(
-        kept_score_table(d), "1h", ["1-URGENT", "5-LOW"], ["BASE"], LOOSE, SMALL_TREES
-    )
-    return backtest.grid_table(predictions, LOOSE, synthetic=True)
-
-
-@query("ev7_blind_threshold")
-def blind(d):
-    return backtest.blind_threshold(_dataset(d), "1-URGENT", LOOSE, SMALL_TREES)
-
-
-@query("ev8_month_windows")
-def month_windows(d):
-    return backtest.month_windows(_dataset(d), "1-URGENT", LOOSE, SMALL_TREES)
-
-
-@query("ev9_settings_search")
-def settings_search(d):
-    configs = {
-        "base": SMALL_TREES,
-        "light": replace(SMALL_TREES, depth=2),
-        "slow": replace(SMALL_TREES, learning_rate=0.01),
-    }
-    cells = backtest.settings_search(_dataset(d), ["1-URGENT", "2-HIGH"], configs, 0.54, LOOSE)
-    return grid.versus_baseline(cells, "base")
-
-
-@query("ml5_settings_override")
-def settings_override(d):
-    """The same rows under the default and an overridden learning rate."""
-    rows, inputs = _league_inputs(d)
-    out = None
-    for name, trees in (("default", SMALL_TREES), ("slow", replace(SMALL_TREES, learning_rate=0.01))):
-        model = models.fit_classifier(rows, inputs, trees=trees)
-        scored = models.predict_probability(model, rows, inputs).withColumn("config", F.lit(name))
-        part = metrics.classification_metrics(scored, ["config"], "over_hit", "prob")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query(
     "pf3_pipeline_specs_settled",
     sql(

@@ -83,6 +83,15 @@ def test_linking_equals_all_pairs(spark, rows):
         assert sorted(got) == sorted(want)
 
 
+def test_a_word_of_all_names_pairs_names_of_one_block_only(spark):
+    schema = "league string, day int, name string"
+    left = spark.createDataFrame([("x", i // 10, f"united a{i}") for i in range(1000)], schema)
+    right = spark.createDataFrame([("x", i // 10, f"united b{i}") for i in range(1000)], schema)
+    pairs = linking.similar_names(left, right, 0.5, ["league", "day"])
+    assert pairs.count() == 100 * 10 * 10
+    assert pairs.where("int(substring(a, 9)) div 10 <> int(substring(b, 9)) div 10").count() == 0
+
+
 def test_one_day_off_links_and_two_do_not(spark):
     row = spark.createDataFrame([(1, "l", dt.date(2025, 1, 5), "bonn", "ulm")], "row_id long, league string, date date, home_norm string, away_norm string")
     for off, n in ((1, 1), (2, 0)):

@@ -1,13 +1,13 @@
 """Linking records of two sources by date and fuzzy names.
 
 The best candidate of a row is the one with the largest mean of home and away name
-similarity among candidates within a few days. Scoring every pair of a (league, date) block
-is quadratic in the block, so the search runs over names instead:
+similarity among candidates within a few days. The search runs inside (league, day) blocks, over the distinct
+names of each:
 
 * a link needs at least one side whose names reach the threshold on their own. Those name
-  pairs are found once, over distinct names, through rare tokens: of the tokens a pair must
-  share, at least one is among the rarest of either name, so a word that is in every name
-  forms no pairs;
+  pairs are found through the rare tokens of a block: of the tokens a pair must share, at least
+  one is among the rarest of either name. A word that is in every name can pair the names of one
+  block at most, never those of different days or leagues;
 * a row reaches candidates by equality on (league, day, similar name), and the other side is
   scored only for candidates that share a token there;
 * candidates with nothing in common on the other side all score half the strong side, so the
@@ -18,6 +18,8 @@ Every candidate that can win is scored; no candidate list is cut.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,49 +35,51 @@ HINT_DAYS = 3
 LISTING_HINT_DAYS = 2
 
 
-def _by_rarity(names: DataFrame, frequency: DataFrame) -> DataFrame:
-    """Each name with its tokens, rarest first."""
+def _by_rarity(names: DataFrame, frequency: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Each name of a block with its tokens, rarest first."""
     ranked = (
-        names.select("name", F.explode(tokens(F.col("name"))).alias("t"))
-        .join(frequency, "t")
-        .groupBy("name")
+        names.select(*block, "name", F.explode(tokens(F.col("name"))).alias("t"))
+        .join(frequency, [*block, "t"])
+        .groupBy(*block, "name")
         .agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("r"))
     )
-    return ranked.select("name", F.col("r.t").alias("ts"))
+    return ranked.select(*block, "name", F.col("r.t").alias("ts"))
 
 
-def similar_names(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
-    """(a, b, sim) for every pair of distinct names with ``sim >= at_least`` (and above 0).
+def similar_names(left: DataFrame, right: DataFrame, at_least: float, block: Sequence[str] = ()) -> DataFrame:
+    """(block, a, b, sim) for every pair of distinct names of a block with ``sim >= at_least`` (and
+    above 0).
 
     A pair that reaches the bound by overlap shares one of the first
     ``size - ceil(bound * size) + 1`` tokens of ``a``; a pair that reaches it by containment
     shares the rarest token of the contained name.
     """
-    left, right = left.select("name").distinct(), right.select("name").distinct()
+    left, right = left.select(*block, "name").distinct(), right.select(*block, "name").distinct()
     frequency = (
         left.unionByName(right)
-        .select(F.explode(tokens(F.col("name"))).alias("t"))
-        .groupBy("t")
+        .select(*block, F.explode(tokens(F.col("name"))).alias("t"))
+        .groupBy(*block, "t")
         .agg(F.count("*").alias("n"))
     )
-    a = _by_rarity(left, frequency).withColumnsRenamed({"name": "a", "ts": "ta"})
-    b = _by_rarity(right, frequency).withColumnsRenamed({"name": "b", "ts": "tb"})
+    a = _by_rarity(left, frequency, block).withColumnsRenamed({"name": "a", "ts": "ta"})
+    b = _by_rarity(right, frequency, block).withColumnsRenamed({"name": "b", "ts": "tb"})
+    on = [*block, "t"]
     size = F.size("ta")
     needed = F.ceil(size * F.lit(float(at_least)) - 1e-9)
     prefix = F.least(F.greatest(size - needed + 1, F.lit(1)), size).cast("int")
-    by_overlap = a.select("a", "ta", F.explode(F.slice("ta", F.lit(1), prefix)).alias("t")).join(
-        b.select("b", "tb", F.explode("tb").alias("t")), "t"
+    by_overlap = a.select(*block, "a", "ta", F.explode(F.slice("ta", F.lit(1), prefix)).alias("t")).join(
+        b.select(*block, "b", "tb", F.explode("tb").alias("t")), on
     )
-    by_containment = a.select("a", "ta", F.explode("ta").alias("t")).join(
-        b.select("b", "tb", F.col("tb")[0].alias("t")), "t"
+    by_containment = a.select(*block, "a", "ta", F.explode("ta").alias("t")).join(
+        b.select(*block, "b", "tb", F.col("tb")[0].alias("t")), on
     )
-    pairs = by_overlap.unionByName(by_containment).dropDuplicates(["a", "b"])
-    scored = pairs.select("a", "b", token_similarity(F.col("ta"), F.col("tb")).alias("sim"))
+    pairs = by_overlap.unionByName(by_containment).dropDuplicates([*block, "a", "b"])
+    scored = pairs.select(*block, "a", "b", token_similarity(F.col("ta"), F.col("tb")).alias("sim"))
     return scored.where((F.col("sim") >= at_least) & (F.col("sim") > 0))
 
 
-def _distinct_names(df: DataFrame) -> DataFrame:
-    return df.select(F.explode(F.array("home_norm", "away_norm")).alias("name")).distinct()
+def _names(df: DataFrame, block: Sequence[str], home: str, away: str) -> DataFrame:
+    return df.select(*block, F.explode(F.array(home, away)).alias("name"))
 
 
 def _near(rows: DataFrame, window: int) -> DataFrame:
@@ -98,15 +102,11 @@ def best_candidates(
     ``undated_match`` lets candidates without a date match any day. Returns row_id, cand_id,
     score.
     """
-    # read four times below
-    sims = staged(
-        similar_names(_distinct_names(rows), _distinct_names(candidates), at_least), "similar-names"
-    )
     dated = candidates.where(F.col("date").isNotNull()).withColumnRenamed("date", "day")
-    found = _search(_near(rows, window), dated, ["league", "day"], sims)
+    found = _search(_near(rows, window), dated, ["league", "day"], at_least)
     if undated_match:
         undated = candidates.where(F.col("date").isNull())
-        found = found.unionByName(_search(rows, undated, ["league"], sims))
+        found = found.unionByName(_search(rows, undated, ["league"], at_least))
     return _top(found, ["row_id"]).where(F.col("score") >= at_least)
 
 
@@ -119,7 +119,7 @@ def _top(options: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _search(rows: DataFrame, candidates: DataFrame, block: list[str], sims: DataFrame) -> DataFrame:
+def _search(rows: DataFrame, candidates: DataFrame, block: list[str], at_least: float) -> DataFrame:
     """Scored (row, candidate) options that include every possible winner."""
     # rows that ask the same question are answered once
     question = [*block, "home_norm", "away_norm"]
@@ -131,11 +131,15 @@ def _search(rows: DataFrame, candidates: DataFrame, block: list[str], sims: Data
         .withColumnsRenamed({"home_norm": "c_home", "away_norm": "c_away"})
     )
 
+    mine_names, their_names = _names(asked, block, "home_norm", "away_norm"), _names(cands, block, "c_home", "c_away")
+    # read twice below
+    sims = staged(similar_names(mine_names, their_names, at_least, block), "similar-names")
+
     def through(strong: str, weak: str) -> DataFrame:
         similar = sims.select(
-            F.col("a").alias(f"{strong}_norm"), F.col("b").alias(f"c_{strong}"), "sim"
+            *block, F.col("a").alias(f"{strong}_norm"), F.col("b").alias(f"c_{strong}"), "sim"
         )
-        near = asked.join(similar, f"{strong}_norm")
+        near = asked.join(similar, [*block, f"{strong}_norm"])
         place = [*block, f"c_{strong}"]
         alone = near.join(cands.groupBy(*place).agg(F.min("cand_id").alias("cand_id")), place)
         mine, theirs = tokens(F.col(f"{weak}_norm")), tokens(F.col(f"c_{weak}"))

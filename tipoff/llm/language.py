@@ -149,11 +149,16 @@ def sample_windows(train: DataFrame, per_language: int, seed: int) -> DataFrame:
     """(lang, piece): about ``per_language`` pieces of WINDOW characters from each language's texts.
 
     A third of them come from the start of as many documents, the others from places that the hash
-    of the id picks. Only these pieces go to the driver.
+    of the id picks. One count for each language comes to the driver, then these pieces; the network
+    has an output for each language, so there are few. Texts are not shuffled.
     """
-    counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     spot = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40))
-    chosen = train.join(counts, "lang").where(spot < F.lit(per_language / 3 * (1 << 40)) / F.col("n"))
+    reach = F.lit(0)
+    for row in counts:
+        share = min(1.0, per_language / 3 / row["n"])
+        reach = F.when(F.col("lang") == row["lang"], F.lit(int(share * (1 << 40)))).otherwise(reach)
+    chosen = train.where(spot < reach)
     last = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
     places = [F.lit(1)] + [F.pmod(F.xxhash64(F.lit(seed + k), F.col("doc_id")), last.cast("long")).cast("int") + 1 for k in (1, 2)]
     pieces = chosen.select("lang", F.explode(F.array(*[F.substr(F.col("text"), p.cast("int"), F.lit(WINDOW)) for p in places])).alias("piece"))

@@ -151,11 +151,13 @@ def radix_pass(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
     """
     known = rows.where("copies = 0").select("ref", "node")
     counted = rows.where("copies > 0")
-    cores = counted.groupBy("core").agg(F.sum("copies").alias("in_core")).where("in_core > 1")
+    # Written before they are joined: a join right above an aggregate cannot be split by key.
+    cores = settle(counted.groupBy("core").agg(F.sum("copies").alias("in_core")).where("in_core > 1"), "radix-cores")
     alive = settle(counted.join(cores, "core"), "radix-alive")
     digits = alive.groupBy("core", "outer").agg(
         F.sum("copies").alias("in_both"), F.min(F.struct("ref", "node")).alias("first")
     )
+    digits = settle(digits, "radix-digits")
     judged = settle(
         alive.join(digits, ["core", "outer"])
         .withColumn("is_first", F.col("first") == F.struct("ref", "node"))

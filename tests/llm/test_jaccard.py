@@ -32,7 +32,7 @@ def roots(pairs, ids):
     return {i: find(i) for i in ids}
 
 
-def brute(rows, width=5, percent=80):
+def brute(rows, width=5, percent=85):
     sets = {i: shingles(t, width) for i, t in rows}
     holders = defaultdict(list)
     pairs = []
@@ -74,7 +74,7 @@ def near_copies():
 
 def test_near_copies(make, near_copies):
     df = make([(i, t, "en", "a") for i, t in near_copies])
-    for contract in ({"width": 3, "percent": 90}, {"width": 5, "percent": 80}):
+    for contract in ({"width": 3, "percent": 90}, {"width": 5, "percent": 85}, {"width": 5, "percent": 80}):
         want = brute(near_copies, **contract)
         assert sum(i != root for i, _, root in want) > 100
         assert got(df, **contract) == want

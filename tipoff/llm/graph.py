@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tipoff.llm.common import settle
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none: stars, each around its root."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.down").alias("down"), F.min("e.down").alias("least"))
+    return nodes.where("down > 1 OR (down = 1 AND least = 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,14 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     current = settle(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    state = _state(current)
-    while True:
+    while not _settled(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = settle(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
-        before, state = state, _state(current)
-        if state == before:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))

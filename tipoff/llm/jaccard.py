@@ -9,7 +9,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.llm.common import query, settle, table, whole
@@ -25,8 +25,8 @@ ELEMENT_BITS = 48
 class Bound:
     """Documents link when 100 * intersection >= percent * union."""
 
-    percent: int = 80
-    growth: float = 1.25
+    percent: int = 85
+    growth: float = 1.4
 
     def shared(self, sizes: np.ndarray) -> np.ndarray:
         """The least intersection of two linked sets whose sizes add up to ``sizes``."""
@@ -159,6 +159,12 @@ def _set_hash(owner: np.ndarray, elements: np.ndarray, sizes: np.ndarray) -> np.
     return mix64(total + sizes.astype(np.uint64)).view(np.int64)
 
 
+def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """Values as a list for each of n texts."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[np.argsort(text, kind="stable")]))
+
+
 def _sketches(width: int, bound: Bound) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash(5, lower=True)
@@ -171,11 +177,16 @@ def _sketches(width: int, bound: Bound) -> Callable:
                 take = np.zeros(len(sizes), bool)
                 take[np.unique(node, return_index=True)[1]] = True
                 text, key = zone_keys(owner, elements, sizes, bound, take)
-                order = np.argsort(text, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(sizes)))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64)))
-                arrays = [piece.column("doc_id"), piece.column("ref"), pa.array(node), pa.array(sizes, pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ref", "node", "n_shingles", "keys"])
+                # Of the sets of a piece that share a key, one brings it, the others link to that one.
+                _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+                holder = text[first[inverse]]
+                brings = np.zeros(len(key), bool)
+                brings[first] = True
+                keys = _lists(text[brings], key[brings].view(np.int64), len(sizes))
+                pairs = np.unique(np.stack([text, holder])[:, text != holder], axis=1)
+                links = _lists(pairs[0], node[pairs[1]], len(sizes))
+                arrays = [piece.column("doc_id"), piece.column("ref"), pa.array(node), pa.array(sizes, pa.int64()), keys, links]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ref", "node", "n_shingles", "keys", "links"])
 
     return run
 
@@ -188,8 +199,8 @@ def _sets(width: int) -> Callable:
                 owner, elements = shingle_sets(*raw(piece.column("text")), hasher, width)
                 begin = np.searchsorted(owner, np.arange(piece.num_rows + 1))
                 sets = [elements[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-                arrays = [piece.column("super"), piece.column("node"), pa.array(np.diff(begin)), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["super", "node", "n", "elements"])
+                rest = piece.drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], [*rest.schema.names, "elements"])
 
     return run
 
@@ -306,27 +317,23 @@ def _against_pivot(bound: Bound) -> Callable:
     return run
 
 
-MEMBER = "super long, node long, n long, elements binary, blocks int, pivot long"
+MEMBER = "super long, node long, blocks int, pivot long, elements binary"
 
 
-def verified_links(members: DataFrame, bound: Bound, block_size: int) -> DataFrame:
+def verified_links(members: DataFrame, bound: Bound) -> DataFrame:
     """(u, v) links that join the true components inside each candidate class.
 
-    ``members``: (super, node, n, elements). A class of up to ``block_size`` elements is one block.
-    A larger one is compared with one of its members first, its pivot: those linked with it are its
-    core, held in many blocks, one each; the others visit every block. So pairs inside the core,
-    which would be nearly all pairs of a large group of near copies, are never formed.
+    ``members``: the columns of MEMBER. A class of one block is compared at once. A larger one is
+    compared with one of its members first, its pivot: those linked with it are its core, held in
+    many blocks, one each; the others visit every block. So pairs inside the core, which would be
+    nearly all pairs of a large group of near copies, are never formed.
     """
-    sizes = members.groupBy("super").agg(
-        F.ceil(F.sum("n") / block_size).cast("int").alias("blocks"), F.min("node").alias("pivot")
-    )
-    sized = members.join(sizes, "super").select("super", "node", "n", "elements", "blocks", "pivot")
-    large = sized.where("blocks > 1")
+    large = members.where("blocks > 1")
     pivots = large.where("node = pivot").select("super", F.col("elements").alias("pivot_elements")).dropDuplicates(["super"])
     judged = settle(
         large.join(pivots, "super").mapInArrow(_against_pivot(bound), f"{MEMBER}, core boolean"), "pivoted"
     )
-    rows = sized.where("blocks = 1").withColumn("core", F.lit(False)).unionByName(judged)
+    rows = members.where("blocks = 1").withColumn("core", F.lit(False)).unionByName(judged)
     spot = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = rows.withColumn("spot", spot).withColumn(
         "block", F.explode(F.when(F.col("core"), F.array("spot")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -338,7 +345,7 @@ def verified_links(members: DataFrame, bound: Bound, block_size: int) -> DataFra
 
 
 def near_groups(
-    docs: DataFrame, *, width: int = 5, percent: int = 80, block_size: int = 2_000_000
+    docs: DataFrame, *, width: int = 5, percent: int = 85, block_size: int = 2_000_000
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -359,26 +366,30 @@ def near_groups(
     bound = Bound(percent)
     text = whole("text")
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("ref"))
-    schema = "doc_id long, ref long, node long, n_shingles long, keys array<long>"
+    schema = "doc_id long, ref long, node long, n_shingles long, keys array<long>, links array<long>"
     base = settle(known.mapInArrow(_sketches(width, bound), schema), "sketches")
 
-    postings = base.select("node", F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    # Written before it is joined: a join right above an aggregate cannot be split by key.
-    shared = settle(shared, "shared-keys")
-    edges = postings.join(shared, "key").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    classes = components(edges)
+    # Each piece of a task brings a key once, so the rows of a key are as many as the pieces at
+    # most; they are sorted and read in a row, never held together.
+    holders = Window.partitionBy("key").orderBy("node")
+    postings = base.select("node", F.explode("keys").alias("key")).withColumn("first", F.first("node").over(holders))
+    edges = postings.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    classes = components(edges.unionByName(base.select(F.col("node").alias("u"), F.explode("links").alias("v"))))
     classes = classes.select("node", F.col("root").alias("super")).unionByName(
         classes.select(F.col("root").alias("node"), F.col("root").alias("super")).distinct()
     )
 
     nodes = base.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("ref").alias("ref"), F.max("n_shingles").alias("n"))
-    wanted = settle(nodes.join(classes, "node").select("ref", "node", "super"), "wanted")
+    wanted = settle(nodes.join(classes, "node").select("ref", "node", "super", "n"), "wanted")
+    # A class of more than ``block_size`` elements is cut into blocks.
+    blocks = F.ceil(F.sum("n") / block_size).cast("int").alias("blocks")
+    sizes = wanted.groupBy("super").agg(blocks, F.min("node").alias("pivot"))
+    wanted = wanted.join(sizes, "super").select("ref", "super", "node", "blocks", "pivot")
     # One plan at every size: texts are joined by a shuffle, however few documents are wanted.
-    texts = known.select("ref", "text").join(wanted.hint("merge"), "ref").select("super", "node", "text")
-    members = settle(texts.mapInArrow(_sets(width), "super long, node long, n long, elements binary"), "members")
+    texts = known.select("ref", "text").join(wanted.hint("merge"), "ref").drop("ref")
+    members = settle(texts.select("super", "node", "blocks", "pivot", "text").mapInArrow(_sets(width), MEMBER), "members")
 
-    roots = components(verified_links(members, bound, block_size))
+    roots = components(verified_links(members, bound))
     labelled = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = labelled.join(least, "root").select("node", "component_id")

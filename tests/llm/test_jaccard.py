@@ -138,3 +138,34 @@ def test_components(llm):
     found = {r["node"]: r["root"] for r in components(llm.createDataFrame(pairs, "u long, v long")).collect()}
     want = roots(pairs, {i for p in pairs for i in p})
     assert found == {i: r for i, r in want.items() if i != r}
+
+
+def test_default_bound_is_four_fifths(make):
+    """Texts with 0.80 to 0.85 of their runs of five words in common are linked, by the default."""
+    rows = []
+    for n, replaced in ((100, 2), (200, 4), (400, 7)):
+        words = [f"d{n}x{k}" for k in range(n)]
+        copy = [f"new{k}" if k % (n // replaced) == n // replaced // 2 and k // (n // replaced) < replaced else w for k, w in enumerate(words)]
+        assert sum(a != b for a, b in zip(words, copy, strict=True)) == replaced
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))]
+    want = brute(rows, percent=80)
+    assert [root for _, _, root in want] == [0, 0, 2, 2, 4, 4]
+    assert [root for _, _, root in brute(rows, percent=85)] == list(range(6))
+    assert got(make([(i, t, "en", "a") for i, t in rows])) == want
+
+
+def test_linked_sizes_have_a_cell_in_common(llm):
+    from pyspark.sql import functions as F
+
+    for percent in (70, 80, 90, 100):
+        sizes = llm.range(1, 4000).select("id", Bound(percent).cells(F.col("id")).alias("cells")).collect()
+        cells = {r["id"]: set(r["cells"]) for r in sizes}
+        for n in cells:
+            least = -(-n * percent // 100)
+            assert all(cells[n] & cells[m] for m in range(least, n + 1)), (percent, n)
+
+
+def test_documents_at_four_fifths(make, documents):
+    df = make([(i, t, "en", "a") for i, t in documents[1]])
+    assert got(df) == brute(documents[1], percent=80)
+    assert got(df, block_size=1000) == brute(documents[1], percent=80)

@@ -76,3 +76,11 @@ def test_words_and_spans():
     n = len(data)
     a, b, c = hasher.spans(np.array([n, n + 3, 0]), np.array([n + 2, n + 5, 2]))
     assert a == b != c
+
+
+def test_near_duplicates_link_from_four_fifths(llm):
+    docs = llm.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    left = {r["doc_id"] for r in stages.near_duplicates(llm, docs, SF).collect()}
+    assert left == {i for i, _, root in brute_groups(rows, percent=80) if i == root}
+    assert left != {i for i, _, root in brute_groups(rows, percent=85) if i == root}

@@ -9,7 +9,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipoff.llm.common import query, settle, table, whole
@@ -25,7 +25,7 @@ ELEMENT_BITS = 48
 class Bound:
     """Documents link when 100 * intersection >= percent * union."""
 
-    percent: int = 85
+    percent: int = 80
     growth: float = 1.4
 
     def shared(self, sizes: np.ndarray) -> np.ndarray:
@@ -43,6 +43,14 @@ class Bound:
             n += 1
         return n
 
+    def cells(self, n: Column) -> Column:
+        """The cells of sizes that a set of ``n`` elements belongs to: its own, and the one of the
+        smallest set it links with. A cell is no narrower than the sizes of two linked sets are
+        apart, so they have a cell in common, whatever their sizes."""
+        width = math.log(max(100 / self.percent, 1.01)) * (1 + 1e-9)
+        least = F.floor((n * self.percent + 99) / 100)
+        return F.array_distinct(F.array(*(F.floor(F.log(size.cast("double")) / width) for size in (n, least))))
+
     def bands(self, largest: int) -> np.ndarray:
         edges = [self.smallest]
         while edges[-1] <= largest:
@@ -191,6 +199,17 @@ def _sketches(width: int, bound: Bound) -> Callable:
     return run
 
 
+def _packed(elements: np.ndarray) -> bytes:
+    """Elements at ELEMENT_BITS each, the upper bytes left out."""
+    return elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ELEMENT_BITS // 8].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // ELEMENT_BITS, 8), np.uint8)
+    out[:, : ELEMENT_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, ELEMENT_BITS // 8)
+    return out.view("<u8").ravel()
+
+
 def _sets(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHash(5, lower=True)
@@ -198,7 +217,7 @@ def _sets(width: int) -> Callable:
             for piece in slices(batch, "text"):
                 owner, elements = shingle_sets(*raw(piece.column("text")), hasher, width)
                 begin = np.searchsorted(owner, np.arange(piece.num_rows + 1))
-                sets = [elements[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                sets = [_packed(elements[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 rest = piece.drop_columns(["text"])
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], [*rest.schema.names, "elements"])
 
@@ -279,7 +298,7 @@ def _block_links(bound: Bound) -> Callable:
     def link(block: pa.Table) -> pa.RecordBatch:
         node = block.column("node").to_numpy()
         first = np.sort(np.unique(node, return_index=True)[1])
-        sets = [np.frombuffer(block.column("elements")[int(i)].as_py(), np.uint64) for i in first]
+        sets = [_unpacked(block.column("elements")[int(i)].as_py()) for i in first]
         core, home = (block.column(c).to_numpy(zero_copy_only=False)[first].astype(bool) for c in ("core", "home"))
         links = link_block(node[first], sets, core, home, bound) if len(first) > 1 else []
         return pa.RecordBatch.from_arrays(
@@ -309,7 +328,7 @@ def _against_pivot(bound: Bound) -> Callable:
         for batch in batches:
             core = []
             for mine, pivot in zip(batch.column("elements"), batch.column("pivot_elements"), strict=True):
-                a, b = np.frombuffer(mine.as_py(), np.uint64), np.frombuffer(pivot.as_py(), np.uint64)
+                a, b = _unpacked(mine.as_py()), _unpacked(pivot.as_py())
                 core.append(bool(bound.linked(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b))))
             rest = batch.drop_columns(["pivot_elements"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(core)], [*rest.schema.names, "core"])
@@ -318,6 +337,7 @@ def _against_pivot(bound: Bound) -> Callable:
 
 
 MEMBER = "super long, node long, blocks int, pivot long, elements binary"
+PLACES = "array<struct<super: long, blocks: int, pivot: long>>"
 
 
 def verified_links(members: DataFrame, bound: Bound) -> DataFrame:
@@ -345,7 +365,7 @@ def verified_links(members: DataFrame, bound: Bound) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, *, width: int = 5, percent: int = 85, block_size: int = 2_000_000
+    docs: DataFrame, *, width: int = 5, percent: int = 80, block_size: int = 2_000_000
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -367,27 +387,42 @@ def near_groups(
     text = whole("text")
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("ref"))
     schema = "doc_id long, ref long, node long, n_shingles long, keys array<long>, links array<long>"
-    base = settle(known.mapInArrow(_sketches(width, bound), schema), "sketches")
+    sketched = known.mapInArrow(_sketches(width, bound), schema)
+    # Keys are many times as large as the rest: they are made once more for the one shuffle they
+    # go through, and are not written besides.
+    base = settle(sketched.select("doc_id", "ref", "node", "n_shingles"), "sketches")
 
     # Each piece of a task brings a key once, so the rows of a key are as many as the pieces at
-    # most; they are sorted and read in a row, never held together.
+    # most; they are sorted and read in a row, never held together. A link is a key of its own, as
+    # links and keys must come from one run over the same pieces.
     holders = Window.partitionBy("key").orderBy("node")
-    postings = base.select("node", F.explode("keys").alias("key")).withColumn("first", F.first("node").over(holders))
-    edges = postings.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    classes = components(edges.unionByName(base.select(F.col("node").alias("u"), F.explode("links").alias("v"))))
+    own = F.transform("keys", lambda key: F.struct(F.col("node").alias("node"), key.alias("key")))
+    linked = F.flatten(F.transform("links", lambda other: F.transform(
+        F.array("node", other), lambda end: F.struct(end.alias("node"), F.xxhash64("node", other).alias("key"))
+    )))
+    entries = sketched.select(F.explode(F.concat(own, linked)).alias("entry")).select("entry.node", "entry.key")
+    postings = entries.withColumn("first", F.first("node").over(holders))
+    classes = components(postings.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
     classes = classes.select("node", F.col("root").alias("super")).unionByName(
         classes.select(F.col("root").alias("node"), F.col("root").alias("super")).distinct()
     )
 
     nodes = base.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("ref").alias("ref"), F.max("n_shingles").alias("n"))
     wanted = settle(nodes.join(classes, "node").select("ref", "node", "super", "n"), "wanted")
-    # A class of more than ``block_size`` elements is cut into blocks.
+    # A class of more than ``block_size`` elements is parted by size first, into classes of their
+    # own; one that is still larger is cut into blocks.
+    large = wanted.groupBy("super").agg(F.sum("n").alias("all")).where(F.col("all") > block_size).select("super", F.lit(True).alias("large"))
+    cells = F.transform(bound.cells(F.col("n")), lambda cell: F.xxhash64("super", cell))
+    parts = wanted.join(large, "super", "left").withColumn(
+        "super", F.explode(F.when(F.col("large"), cells).otherwise(F.array("super")))
+    )
     blocks = F.ceil(F.sum("n") / block_size).cast("int").alias("blocks")
-    sizes = wanted.groupBy("super").agg(blocks, F.min("node").alias("pivot"))
-    wanted = wanted.join(sizes, "super").select("ref", "super", "node", "blocks", "pivot")
+    sizes = parts.groupBy("super").agg(blocks, F.min("node").alias("pivot"))
+    places = parts.join(sizes, "super").groupBy("ref", "node").agg(F.collect_list(F.struct("super", "blocks", "pivot")).alias("places"))
     # One plan at every size: texts are joined by a shuffle, however few documents are wanted.
-    texts = known.select("ref", "text").join(wanted.hint("merge"), "ref").drop("ref")
-    members = settle(texts.select("super", "node", "blocks", "pivot", "text").mapInArrow(_sets(width), MEMBER), "members")
+    texts = known.select("ref", "text").join(places.hint("merge"), "ref").select("node", "places", "text")
+    members = settle(texts.mapInArrow(_sets(width), f"node long, places {PLACES}, elements binary"), "members")
+    members = members.withColumn("place", F.explode("places")).select("place.super", "node", "place.blocks", "place.pivot", "elements")
 
     roots = components(verified_links(members, bound))
     labelled = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))

@@ -78,3 +78,22 @@ def test_gate_uses_league_minimum(spark, rows):
 def test_pushes_are_dropped_from_labels(spark):
     df = spark.createDataFrame([(200, 200.0), (201, 200.0), (199, 200.0), (5, None), (None, 1.0)], "game_total int, total_line double")
     assert [r["over_hit"] for r in settle.labelled(df).collect()] == [1, 0]
+
+
+def test_registered_bounds_are_those_of_a_plain_bootstrap(spark):
+    from types import SimpleNamespace
+
+    from tipoff.queries.catalog import callables
+    from tipoff.queries.registry import QUERIES
+
+    bets = [(0.7, 210.0)] * 300 + [(0.7, 190.0)] * 280 + [(0.7, 200.0)] * 20
+    predictions = spark.createDataFrame([("a", p, a, 200.0) for p, a in bets], "league string, prob double, actual double, line double")
+    assert "ev3_bootstrap_bounds" in callables()
+    rows = QUERIES["ev3_bootstrap_bounds"].run(SimpleNamespace(predictions=predictions)).collect()
+    assert {r["threshold"] for r in rows} == set(BETS.thresholds)
+    pnl = np.array([0.9] * 300 + [-1.0] * 280 + [0.0] * 20)
+    means = 100 * pnl[np.random.default_rng(7).integers(0, 600, (BETS.draws, 600))].mean(axis=1)
+    low, high = np.percentile(means, [2.5, 97.5])
+    for r in rows:
+        assert r["n"] == 600
+        assert r["roi_ci_low"] == pytest.approx(low, abs=0.8) and r["roi_ci_high"] == pytest.approx(high, abs=0.8)

@@ -809,6 +809,15 @@ def bootstrap_counts(d):
     return rounded(out.select("league", "threshold", "n", "roi", contained.alias("contained"), again.alias("again")), "roi")
 
 
+@query("ev3_bootstrap_bounds")
+def bootstrap_bounds(d):
+    """The bounds from all draws of the settings; their random numbers have no SQL."""
+    out = settle.bootstrap_interval(settle.sweep(d.predictions, ["league"]), ["league"])
+    return rounded(
+        out.select("league", "threshold", "n", "roi_ci_low", "roi_ci_high"), "roi_ci_low", "roi_ci_high"
+    )
+
+
 @query(
     "ev10_significance_flag",
     sql(

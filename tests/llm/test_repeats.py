@@ -6,17 +6,17 @@ from collections import Counter
 
 from tests.llm.conftest import ODD
 
-from tipoff.llm.repeats import cut_repeats, merged
+from tipoff.llm.repeats import GRAM, Depth, cut_repeats, merged
 
 
 def brute(rows, length):
     texts = [(i, (t or "").encode()) for i, t in rows]
-    seen = Counter(b[k : k + length] for _, b in texts for k in range(len(b) - length + 1))
+    seen = Counter(hash(b[k : k + length]) for _, b in texts for k in range(len(b) - length + 1))
     out = []
     for doc_id, b in texts:
         gone = bytearray(len(b))
         for k in range(len(b) - length + 1):
-            if seen[b[k : k + length]] > 1:
+            if seen[hash(b[k : k + length])] > 1:
                 gone[k : k + length] = b"\1" * length
         runs = [x for x in bytes(gone).split(b"\0") if x]
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
@@ -39,6 +39,28 @@ def test_documents(make, documents):
         assert got(make(rows), length) == brute(documents[1][:120], length)
 
 
+def test_sizes_nest():
+    for length in range(GRAM + 1, 1 << 12):
+        sizes = Depth(length).blocks
+        assert sizes[-1] == 1 and all(a > b and a % b == 0 for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def test_whole_table(llm):
+    """Every document of the larger table, at the length of the query and at one that cuts unevenly."""
+    docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r[0], r[1]) for r in docs.collect()]
+    for length in (400, 135):
+        assert got(docs, length) == brute(rows, length)
+
+
+def test_many_lengths(make, documents):
+    """Lengths whose offsets no block size divides."""
+    picked = [r for r in documents[1] if len(r[1] or "") < 3000][:60]
+    picked += [(1000 + i, f"{i} " + t[i : i + 500] + t[: 2 * i]) for i, t in picked[::2] if t]
+    for length in (47, 121, 289):
+        assert got(make([(i, t, "en", "a") for i, t in picked]), length) == brute(picked, length)
+
+
 def test_passages_cut_at_every_place(make):
     """Pieces of one text, of all lengths around the threshold, between letters that differ."""
     rng = random.Random(3)

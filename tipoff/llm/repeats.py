@@ -22,7 +22,11 @@ SLICE = 1 << 20
 
 @dataclass(frozen=True)
 class Depth:
-    """Sizes of the passes for windows of ``length`` bytes: blocks of offsets, coarse to single ones."""
+    """Sizes of the passes for windows of ``length`` bytes: blocks of offsets, coarse to single ones.
+
+    A size is a multiple of the next one. Otherwise a fine block would lie in two coarse ones, and
+    the two halves of it that one anchor has would count as two places.
+    """
 
     length: int
 
@@ -32,8 +36,10 @@ class Depth:
 
     @property
     def blocks(self) -> list[int]:
-        coarse = -(-self.offsets // 3)
-        return sorted({coarse, -(-coarse // 8), 1}, reverse=True)
+        fine = -(-self.offsets // 24)
+        sizes = sorted({8 * fine, fine, 1}, reverse=True)
+        assert all(a % b == 0 for a, b in zip(sizes, sizes[1:], strict=False))
+        return sizes
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:

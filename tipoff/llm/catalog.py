@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tipoff.llm import alignment, exact, jaccard, kneser_ney, language, lines, mixing, packing, quality, repeats, toxicity, variants  # noqa: F401
+from tipoff.llm import alignment, exact, jaccard, kneser_ney, language, lines, mixing, packing, quality, repeats, secrets, toxicity, variants  # noqa: F401
 from tipoff.llm.common import QUERIES
 
 

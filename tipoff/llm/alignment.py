@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,30 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@cache
+def _ids(path_a: str, path_b: str) -> Ids:
+    """One for each Python worker, so that its tasks share what was learned."""
+    return Ids(path_a, path_b)
+
+
+class Growing:
+    """An array that is added to; its room doubles."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            room = np.zeros(max(2 * len(self.room), self.n + len(values)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+
 class Ids:
     """Token ids of units in a row, each distinct unit encoded once."""
 
@@ -62,6 +88,8 @@ class Ids:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        if max(len(self.bytes_a), len(self.bytes_b)) > 1 << 16:
+            raise ValueError("ids are held in 16 bits")
         self.sizes_a = pa.array([len(x) for x in self.bytes_a], pa.int64())
         self.sizes_b = pa.array([len(x) for x in self.bytes_b], pa.int64())
         self.most_units = most_units
@@ -69,10 +97,10 @@ class Ids:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.good = np.zeros(0, bool)
-        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.at = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.size = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.good = Growing(bool)
+        self.ids = [Growing(np.uint16), Growing(np.uint16)]
+        self.at = [Growing(np.int64), Growing(np.int64)]
+        self.size = [Growing(np.int64), Growing(np.int64)]
 
     def numbers(self, units: list[str]) -> np.ndarray:
         """The number of each unit, learning new ones."""
@@ -86,13 +114,12 @@ class Ids:
                 want = unit.encode()
                 good.append(b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b)))
                 self.known[unit] = len(self.known)
-            self.good = np.concatenate([self.good, np.array(good, bool)])
+            self.good.add(np.array(good, bool))
             for side, lists in enumerate((lists_a, lists_b)):
                 size = np.fromiter(map(len, lists), np.int64, len(lists))
-                flat = np.fromiter((i for x in lists for i in x), np.int64, int(size.sum()))
-                self.at[side] = np.concatenate([self.at[side], len(self.ids[side]) + np.cumsum(size) - size])
-                self.size[side] = np.concatenate([self.size[side], size])
-                self.ids[side] = np.concatenate([self.ids[side], flat])
+                self.at[side].add(self.ids[side].n + np.cumsum(size) - size)
+                self.size[side].add(size)
+                self.ids[side].add(np.fromiter(chain.from_iterable(lists), np.uint16, int(size.sum())))
         return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
 
     def lists(self, numbers: np.ndarray, ends: np.ndarray, side: int) -> pa.LargeListArray:
@@ -102,7 +129,7 @@ class Ids:
         total = int(after[-1]) if len(after) else 0
         source = np.arange(total) + np.repeat(self.at[side][numbers] - (after - size), size)
         bounds = np.concatenate([[0], after])[np.concatenate([[0], ends])]
-        return pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(self.ids[side][source]))
+        return pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(self.ids[side][source].astype(np.int64)))
 
 
 def ends_of(lists: pa.LargeListArray, sizes: pa.Array, side: str) -> pa.Table:
@@ -250,21 +277,22 @@ def parts(text: str, step: int = STEP) -> Iterator[str]:
 
 def _aligner(path_a: str, path_b: str, step: int, block_links: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path_a, path_b)
+        ids = _ids(path_a, path_b)
         blocks = Blocks(ids, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for piece in slices(batch, "text", step):
                 if len(ids.known) > ids.most_units:
                     ids.forget()
                 rows, runs, held = [], [], 0
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                texts = piece.column("text").to_pylist()
+                units = [UNIT.findall(p) for t in texts if t for p in parts(" " + t, step)]
+                numbers = iter(np.split(ids.numbers(list(chain.from_iterable(units))), np.cumsum([len(u) for u in units])[:-1]))
+                for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts, strict=True):
                     row = blocks.add(doc_id)
-                    if not text:
-                        continue
-                    numbers = [ids.numbers(UNIT.findall(p)) for p in parts(" " + text, step)]
-                    if not all(ids.good[x].all() for x in numbers):
+                    own = [next(numbers) for _ in parts(" " + text, step)] if text else []
+                    if not all(ids.good[x].all() for x in own):
                         continue
-                    for x in numbers:
+                    for x in own:
                         rows.append(row)
                         runs.append(x)
                         held += len(x)

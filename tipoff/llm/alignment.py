@@ -106,15 +106,18 @@ class Ids:
         """The number of each unit, learning new ones."""
         new = [u for u in dict.fromkeys(units) if u not in self.known]
         if new:
-            lists_a = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
+            lists_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
             # The model puts a blank in front; before a line feed both are tokens of their own.
             lists_b = [x[2:] for x in self.b.encode(["\n" + u for u in new], num_threads=1)]
-            good = []
-            for unit, a, b in zip(new, lists_a, lists_b, strict=True):
-                want = unit.encode()
-                good.append(b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b)))
-                self.known[unit] = len(self.known)
-            self.good.add(np.array(good, bool))
+            good = np.ones(len(new), bool)
+            whole = "".join(new).encode()
+            spelled = [b"".join(map(of.__getitem__, chain.from_iterable(x))) for of, x in ((self.bytes_a, lists_a), (self.bytes_b, lists_b))]
+            if not spelled[0] == whole == spelled[1]:
+                for i, (unit, a, b) in enumerate(zip(new, lists_a, lists_b, strict=True)):
+                    want = unit.encode()
+                    good[i] = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.good.add(good)
             for side, lists in enumerate((lists_a, lists_b)):
                 size = np.fromiter(map(len, lists), np.int64, len(lists))
                 self.at[side].add(self.ids[side].n + np.cumsum(size) - size)

@@ -131,8 +131,8 @@ class TreeSettings:
     min_leaf_rows: int = 1
     #: the share of rows held out for early stopping
     test_share: float = 0.20
-    #: an iteration that gains less than this on the held-out rows is the last one
-    tolerance: float = 0.01
+    #: boosting stops after so many rounds without a smaller held-out error
+    patience: int = 50
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,6 @@ class ScaleSettings:
 
     #: an entity with more rows than this is processed in several tasks
     hot_rows: int = 2_000_000
-    #: a result of at most this many rows may be joined as a broadcast
     #: width of the time cells a hot entity is cut into
     cell_seconds: int = 86_400
 
@@ -150,7 +149,7 @@ FEATURES = FeatureSettings()
 BETS = BetSettings()
 TREES = TreeSettings()
 #: the pace model's own size
-PACE_TREES = TreeSettings(iterations=1000, depth=6, tolerance=0.0001)
+PACE_TREES = TreeSettings(iterations=1000, depth=6)
 #: size of all trees in registered queries, which fit dozens of models on small test tables
 QUERY_TREES = TreeSettings(iterations=3, depth=3)
 SCALE = ScaleSettings()

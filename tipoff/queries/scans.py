@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tipoff.operators import merge, progress
 from tipoff.queries.registry import as_long, query, rounded
 from tipoff.queries.views import sql
-from tipoff.sources import sinks, tables
+from tipoff.session import fresh_path
+from tipoff.sources import ordered, sinks, tables
 
 SEASON = "1997-01-01"
 FINISHED = "home_score_final IS NOT NULL AND away_score_final IS NOT NULL"
@@ -481,6 +482,41 @@ def _changes(d):
     return known.unionByName(new)
 
 
+@query(
+    "sl1_ordered_scan",
+    sql(
+        "matches",
+        """
+        SELECT match_id, position FROM (
+          SELECT match_id, scheduled_at, row_number() OVER (ORDER BY scheduled_at, match_id) AS position FROM matches)
+        WHERE scheduled_at >= TIMESTAMP '1996-03-01 00:00:00'
+        """,
+    ),
+)
+def ordered_scan(d):
+    """Contests since a time with their place in the order of all, from the files that reach it."""
+    path = ordered.write_ordered(d.matches, fresh_path(d.spark, "ordered"))
+    start = F.lit("1996-03-01").cast("timestamp")
+    return ordered.scan_ordered(d.spark, path, start, position="position").select("match_id", "position")
+
+
+@query(
+    "sl1_ordered_periods",
+    sql(
+        "periods",
+        """
+        SELECT match_id, period_type, CAST(period_number AS BIGINT) AS period_number,
+               row_number() OVER (ORDER BY match_id, period_type, period_number) AS position FROM periods
+        """,
+    ),
+)
+def ordered_periods(d):
+    """All period rows in the order of their contests."""
+    keys = ("match_id", "period_type", "period_number")
+    path = ordered.write_ordered(d.periods.select(*keys), fresh_path(d.spark, "ordered"), keys)
+    return as_long(ordered.scan_ordered(d.spark, path, key="match_id", position="position"), "period_number")
+
+
 @query(
     "snk1_csv_round_trip",
     sql("contests", "SELECT match_id, league, home_score_final, total_line FROM contests"),

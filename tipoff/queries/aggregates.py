@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tipoff.config import BETS
+from tipoff.config import BETS, COMBOS, GRID_THRESHOLDS
 from tipoff.functions import boxmath
 from tipoff.operators import fills, grid, metrics, periods, settle, splits
 from tipoff.queries.registry import as_long, query, rounded
@@ -171,13 +171,15 @@ def totals(d):
         """
         SELECT match_id, round(home_score_final / hp * 100, 6) AS home_ortg,
                round(away_score_final / ap * 100, 6) AS home_drtg, round(ht / hp * 100, 6) AS home_tov_rate,
-               round(home_score_final / hp * 100, 6) AS away_drtg, round(ap, 6) AS away_true_pace
-        FROM (SELECT c.match_id, home_score_final, away_score_final, ht,
+               round(hp, 6) AS home_true_pace, round(away_score_final / ap * 100, 6) AS away_ortg,
+               round(home_score_final / hp * 100, 6) AS away_drtg, round(at_ / ap * 100, 6) AS away_tov_rate,
+               round(ap, 6) AS away_true_pace
+        FROM (SELECT c.match_id, home_score_final, away_score_final, ht, at_,
                      CASE WHEN h >= 1 THEN h END AS hp, CASE WHEN a >= 1 THEN a END AS ap
               FROM contests c LEFT JOIN s ON s.match_id = c.match_id)
         """,
         s=f"SELECT match_id, sum(home_possessions) AS h, sum(away_possessions) AS a, "
-        f"sum(home_turnovers) AS ht FROM periods WHERE {QUARTERS} GROUP BY match_id",
+        f"sum(home_turnovers) AS ht, sum(away_turnovers) AS at_ FROM periods WHERE {QUARTERS} GROUP BY match_id",
     ),
 )
 def efficiency_by_opponent(d):
@@ -185,7 +187,7 @@ def efficiency_by_opponent(d):
     df = d.contests.join(box, "match_id", "left")
     cols = ("home_score_final", "away_score_final", "home_poss", "away_poss", "home_tov", "away_tov")
     ratings = boxmath.efficiency_by_opponent(*[F.col(c) for c in cols])
-    wanted = ("home_ortg", "home_drtg", "home_tov_rate", "away_drtg", "away_true_pace")
+    wanted = [f"{side}_{c}" for side in ("home", "away") for c in ("ortg", "drtg", "tov_rate", "true_pace")]
     return rounded(df.select("match_id", *[ratings[c].alias(c) for c in wanted]), *wanted)
 
 
@@ -193,37 +195,29 @@ def efficiency_by_opponent(d):
     "pf17_shooting_rates",
     sql(
         "contests periods",
-        """
-        SELECT c.match_id, round(fta / nullif(poss, 0), 6) AS home_ft_rate,
-               round(tov / nullif(poss, 0), 6) AS home_to_rate, round(oreb / nullif(fga, 0), 6) AS home_oreb_rate,
-               round(home_score_final / nullif(poss, 0), 6) AS home_pts_per_poss
-        FROM contests c LEFT JOIN s ON s.match_id = c.match_id
-        """,
-        s="""
-        SELECT match_id,
-          CASE WHEN q = 1 THEN coalesce(p1, 0) ELSE p2 END AS poss,
-          CASE WHEN q = 1 THEN coalesce(f1, 0) ELSE f2 END AS fga,
-          CASE WHEN q = 1 THEN coalesce(t1, 0) ELSE t2 END AS fta,
-          CASE WHEN q = 1 THEN coalesce(o1, 0) ELSE o2 END AS oreb,
-          CASE WHEN q = 1 THEN coalesce(v1, 0) ELSE v2 END AS tov
-        FROM (SELECT match_id, max(CASE WHEN period_type = 'QUARTER' THEN 1 ELSE 0 END) AS q,
-          sum(CASE WHEN period_type = 'QUARTER' THEN home_possessions END) AS p1,
-          max(CASE WHEN period_type = 'GAME' THEN home_possessions END) AS p2,
-          sum(CASE WHEN period_type = 'QUARTER' THEN home_fga END) AS f1,
-          max(CASE WHEN period_type = 'GAME' THEN home_fga END) AS f2,
-          sum(CASE WHEN period_type = 'QUARTER' THEN home_fta END) AS t1,
-          max(CASE WHEN period_type = 'GAME' THEN home_fta END) AS t2,
-          sum(CASE WHEN period_type = 'QUARTER' THEN home_off_reb END) AS o1,
-          max(CASE WHEN period_type = 'GAME' THEN home_off_reb END) AS o2,
-          sum(CASE WHEN period_type = 'QUARTER' THEN home_turnovers END) AS v1,
-          max(CASE WHEN period_type = 'GAME' THEN home_turnovers END) AS v2
-        FROM periods WHERE period_type IN ('QUARTER', 'GAME') GROUP BY match_id)
-        """,
+        "SELECT c.match_id, "
+        + ", ".join(
+            f"round({side}_fta / nullif({side}_poss, 0), 6) AS {side}_ft_rate, "
+            f"round({side}_tov / nullif({side}_poss, 0), 6) AS {side}_to_rate, "
+            f"round({side}_oreb / nullif({side}_fga, 0), 6) AS {side}_oreb_rate, "
+            f"round({side}_score_final / nullif({side}_poss, 0), 6) AS {side}_pts_per_poss"
+            for side in ("home", "away")
+        )
+        + " FROM contests c LEFT JOIN s ON s.match_id = c.match_id",
+        s="SELECT match_id, "
+        + ", ".join(
+            f"CASE WHEN max(CASE WHEN period_type = 'QUARTER' THEN 1 ELSE 0 END) = 1 "
+            f"THEN coalesce(sum(CASE WHEN period_type = 'QUARTER' THEN {side}_{source} END), 0) "
+            f"ELSE max(CASE WHEN period_type = 'GAME' THEN {side}_{source} END) END AS {side}_{name}"
+            for side in ("home", "away")
+            for name, source in (("poss", "possessions"), ("fga", "fga"), ("fta", "fta"), ("oreb", "off_reb"), ("tov", "turnovers"))
+        )
+        + " FROM periods WHERE period_type IN ('QUARTER', 'GAME') GROUP BY match_id",
     ),
 )
 def shooting_rates(d):
     out = periods.contest_stats(d.contests, d.periods)
-    rates = ("home_ft_rate", "home_to_rate", "home_oreb_rate", "home_pts_per_poss")
+    rates = [f"{side}_{c}" for side in ("home", "away") for c in ("ft_rate", "to_rate", "oreb_rate", "pts_per_poss")]
     return rounded(out.select("match_id", *rates), *rates)
 
 
@@ -261,21 +255,25 @@ def rowwise_mean(d):
                round(allowed / possessions * 100, 6) AS defensive_rating
         FROM (SELECT c.match_id, 'home' AS side, home_score_final AS scored, away_score_final AS allowed,
                      a.possessions - 95 AS possessions
-              FROM contests c JOIN advanced a ON a.match_id = c.match_id AND a.team_id = c.home_team_id)
+              FROM contests c JOIN advanced a ON a.match_id = c.match_id AND a.team_id = c.home_team_id
+              UNION ALL
+              SELECT c.match_id, 'away', away_score_final, home_score_final, a.possessions - 95
+              FROM contests c JOIN advanced a ON a.match_id = c.match_id AND a.team_id = c.away_team_id)
         WHERE possessions > 0
         """,
     ),
 )
 def efficiency_own(d):
-    df = tables.join_sides(d.contests, d.advanced, ["possessions"], "inner")
-    poss = F.col("home_possessions") - 95
-    ratings = boxmath.efficiency_own(F.col("home_score_final"), F.col("away_score_final"), poss)
-    out = df.where(poss > 0).select(
-        "match_id",
-        F.lit("home").alias("side"),
-        ratings["offensive_rating"].alias("offensive_rating"),
-        ratings["defensive_rating"].alias("defensive_rating"),
-    )
+    df = tables.join_sides(d.contests, d.advanced, ["possessions"], "left")
+
+    def rated(side: str, other: str):
+        poss = F.col(f"{side}_possessions") - 95
+        ratings = boxmath.efficiency_own(F.col(f"{side}_score_final"), F.col(f"{other}_score_final"), poss)
+        names = ("possessions", "offensive_rating", "defensive_rating")
+        return F.struct(F.lit(side).alias("side"), *[ratings[c].alias(c) for c in names])
+
+    both = df.select("match_id", F.inline(F.array(rated("home", "away"), rated("away", "home"))))
+    out = both.where(F.col("possessions").isNotNull()).drop("possessions")
     return rounded(out, "offensive_rating", "defensive_rating")
 
 
@@ -284,20 +282,24 @@ def efficiency_own(d):
     sql(
         "contests advanced periods",
         """
-        SELECT c.match_id, round((20 + c.match_id % 13) / nullif(coalesce(a.possessions, s.h), 0) * 100, 6) AS tpa_rate
-        FROM contests c LEFT JOIN advanced a ON a.match_id = c.match_id AND a.team_id = c.home_team_id
+        SELECT c.match_id, round((20 + c.match_id % 13) / nullif(coalesce(ha.possessions, s.h), 0) * 100, 6) AS home_tpa_rate,
+               round((18 + c.match_id % 11) / nullif(coalesce(aa.possessions, s.a), 0) * 100, 6) AS away_tpa_rate
+        FROM contests c LEFT JOIN advanced ha ON ha.match_id = c.match_id AND ha.team_id = c.home_team_id
+        LEFT JOIN advanced aa ON aa.match_id = c.match_id AND aa.team_id = c.away_team_id
         LEFT JOIN s ON s.match_id = c.match_id
         """,
-        s=f"SELECT match_id, sum(home_possessions) AS h FROM periods WHERE {QUARTERS} GROUP BY match_id",
+        s=f"SELECT match_id, sum(home_possessions) AS h, sum(away_possessions) AS a FROM periods WHERE {QUARTERS} GROUP BY match_id",
     ),
 )
 def three_point_rate(d):
-    box = periods.period_summary(periods.regulation_periods(d.periods)).select("match_id", "home_poss")
+    box = periods.period_summary(periods.regulation_periods(d.periods)).select("match_id", "home_poss", "away_poss")
     df = tables.join_sides(d.contests, d.advanced, ["possessions"]).join(box, "match_id", "left")
-    rate = boxmath.three_point_rate(
-        F.lit(20) + F.col("match_id") % 13, F.col("home_possessions"), F.col("home_poss")
-    )
-    return rounded(df.select("match_id", rate.alias("tpa_rate")), "tpa_rate")
+    tried = {"home": F.lit(20) + F.col("match_id") % 13, "away": F.lit(18) + F.col("match_id") % 11}
+    rates = {
+        f"{side}_tpa_rate": boxmath.three_point_rate(n, F.col(f"{side}_possessions"), F.col(f"{side}_poss"))
+        for side, n in tried.items()
+    }
+    return rounded(df.select("match_id", *[v.alias(k) for k, v in rates.items()]), *rates)
 
 
 @query(
@@ -471,7 +473,8 @@ def playoff_flags(d):
     sql(
         "contests appearances periods",
         f"""
-        SELECT c.match_id, round(h.s / l.pts, 6) AS home_attack_strength, round(a.o / l.pts, 6) AS away_defense_strength,
+        SELECT c.match_id, round(h.s / l.pts, 6) AS home_attack_strength, round(a.s / l.pts, 6) AS away_attack_strength,
+               round(h.o / l.pts, 6) AS home_defense_strength, round(a.o / l.pts, 6) AS away_defense_strength,
                round(h.w - a.w, 6) AS win_rate_diff_L5, round(h.p + a.p - l.pace, 6) AS expected_matchup_pace
         FROM contests c JOIN rolled h ON h.match_id = c.match_id AND NOT h.is_road
         JOIN rolled a ON a.match_id = c.match_id AND a.is_road JOIN levels l ON l.league = c.league
@@ -514,7 +517,8 @@ def matchup(d):
     wide = rejoin_sides(rolled, [f"{s}_L5" for s in stats], ("league",))
     levels = fills.league_levels(base, "league", "match_home_pace")
     out = fills.matchup(wide, levels, "league", "pts", "opp")
-    cols = ("home_attack_strength", "away_defense_strength", "win_rate_diff_L5", "expected_matchup_pace")
+    cols = [f"{side}_{c}_strength" for side in ("home", "away") for c in ("attack", "defense")]
+    cols += ["win_rate_diff_L5", "expected_matchup_pace"]
     return rounded(out.select("match_id", *cols), *cols)
 
 
@@ -742,7 +746,7 @@ def gate(d):
     return settle.bet_gate(d.predictions.withColumn("league", league)).select("match_id", "league")
 
 
-DRAWS = 20
+DRAWS = BETS.draws
 DIGESTS = f"""
 SELECT league, threshold, wins, losses, pushes, n, b, j,
        md5(concat(league, '-', threshold, '-', b, '-', j)) AS h
@@ -1037,17 +1041,19 @@ def two_key_order(d):
     "jn12_league_by_combo",
     sql(
         "contests",
-        """
+        f"""
         SELECT league, combo, threshold, count(*) AS n
-        FROM contests, (VALUES ('BASE'), ('BASE+FATIGUE')) c(combo), (VALUES (0.54E0), (0.56E0)) t(threshold)
+        FROM contests, (VALUES {', '.join(f"('{c}')" for c in COMBOS)}) c(combo),
+             (VALUES {', '.join(f'({t}E0)' for t in GRID_THRESHOLDS)}) t(threshold)
         GROUP BY 1, 2, 3
         """,
     ),
 )
 def league_by_combo(d):
+    """The whole grid: every league, combination and threshold."""
     counts = d.contests.groupBy("league").agg(F.count("*").alias("n"))
-    crossed = grid.cross(counts, ["BASE", "BASE+FATIGUE"], "combo")
-    return crossed.withColumn("threshold", F.explode(F.array(F.lit(0.54), F.lit(0.56))))
+    crossed = grid.cross(counts, list(COMBOS), "combo")
+    return crossed.withColumn("threshold", F.explode(F.array(*map(F.lit, GRID_THRESHOLDS))))
 
 
 IMPORTANCE = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.config import FEATURES
@@ -192,50 +192,48 @@ def score_table_checked(d):
     return rounded(as_long(out, *flags), *ROUNDED)
 
 
-@query(
-    "pf9_model_inputs",
-    f"""
-    SELECT league, count(*) AS n, round(CAST(sum(home_is_b2b) AS DOUBLE), 6) AS s_b2b, round(sum(home_pts_scored_game_EMA5), 4) AS s_ema
-    FROM ({FEATURE_SQL}) GROUP BY league
-    """,
-)
+#: Leagues of the tables, and whose column groups each of them stands in for.
+STAND_INS = {"1-URGENT": "LegaA", "2-HIGH": "NBA", "3-MEDIUM": "LNB", "4-NOT SPECIFIED": "BBL", "5-LOW": None}
+#: The columns that the model of each league may see.
+ALLOWED = {x: columns.inputs_of(columns.league_groups(key), WIDE_COLUMNS) for x, key in STAND_INS.items()}
+INPUT_COLUMNS = list(dict.fromkeys(c for cols in ALLOWED.values() for c in cols))
+ALLOWED_SQL = ", ".join(f"('{x}', '{c}')" for x, cols in ALLOWED.items() for c in cols)
+INPUTS_SQL = f"""
+SELECT league, feature, v FROM (
+  UNPIVOT (SELECT league, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in INPUT_COLUMNS)} FROM ({FEATURE_SQL}))
+  ON {', '.join(INPUT_COLUMNS)} INTO NAME feature VALUE v)
+WHERE (league, feature) IN (VALUES {ALLOWED_SQL})
+"""
+
+
+def _allowed() -> Column:
+    out = F.lit(False)
+    for league, cols in ALLOWED.items():
+        out = out | ((F.col("league") == league) & F.col("feature").isin(cols))
+    return out
+
+
+@query("pf9_model_inputs", f"SELECT league, feature, count(v) AS n, round(sum(v), 3) AS total FROM ({INPUTS_SQL}) GROUP BY 1, 2")
 def model_inputs(d):
-    table = kept_score_table(d)
-    cols = columns.inputs_of(columns.league_groups("NBA"), table.columns)
-    picked = table.select(*cols)
-    return picked.groupBy("league").agg(
-        F.count("*").alias("n"),
-        F.round(F.sum("home_is_b2b").cast("double"), 6).alias("s_b2b"),
-        F.round(F.sum("home_pts_scored_game_EMA5"), 4).alias("s_ema"),
-    )
+    """Every input of every league's model: how often it is known, and its sum."""
+    table = rounded(kept_score_table(d), *(c for c in INPUT_COLUMNS if c in ROUNDED))
+    sums = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.sum(F.col(c).cast("double")).alias("total")) for c in INPUT_COLUMNS]
+    out = table.groupBy("league").agg(F.array(*sums).alias("x")).select("league", F.inline("x"))
+    return out.where(_allowed() & (F.col("n") > 0)).withColumn("total", F.round("total", 3))
 
 
-@query(
-    "pf10_group_columns",
-    f"""
-    SELECT league, feature, count(v) AS n_known FROM (
-      SELECT league, unnest(['home_is_b2b', 'home_box_tpa_L5', 'home_ortg_L3', 'home_win_L3']) AS feature,
-             unnest([home_is_b2b, home_box_tpa_L5, home_ortg_L3, NULL]) AS v FROM ({FEATURE_SQL}))
-    WHERE (feature = 'home_is_b2b' AND league IN ('1-URGENT', '2-HIGH'))
-       OR (feature = 'home_box_tpa_L5' AND league IN ('1-URGENT', '3-MEDIUM'))
-    GROUP BY 1, 2
-    """,
-)
+@query("pf10_group_columns", f"SELECT league, feature, count(v) AS n_known FROM ({INPUTS_SQL}) GROUP BY 1, 2")
 def group_columns(d):
-    """Known values of group columns each league's model may see."""
+    """Known values of all columns that each league's model may see, from a table cut to them."""
     table = kept_score_table(d)
-    stand_in = {"1-URGENT": "LegaA", "2-HIGH": "NBA", "3-MEDIUM": "LNB", "5-LOW": None}
-    watched = ["home_is_b2b", "home_box_tpa_L5", "home_ortg_L3", "home_win_L3"]
-    parts = []
-    for league, key in stand_in.items():
-        allowed = set(columns.inputs_of(columns.league_groups(key), table.columns))
-        for c in (w for w in watched if w in allowed):
-            rows = table.where(F.col("league") == league)
-            parts.append(rows.groupBy("league").agg(F.count(c).alias("n_known")).withColumn("feature", F.lit(c)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("league", "feature", "n_known")
+    out = None
+    for league, key in STAND_INS.items():
+        cols = [c for c in columns.inputs_of(columns.league_groups(key), table.columns) if c not in columns.CATEGORIES]
+        rows = table.where(F.col("league") == league).select("league", *[F.col(c).cast("double").alias(c) for c in cols])
+        part = rows.unpivot(["league"], cols, "feature", "v").where("v IS NOT NULL")
+        part = part.groupBy("league", "feature").agg(F.count("v").alias("n_known"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # -- the pace feature table -----------------------------------------------------------------------

@@ -239,35 +239,33 @@ def safe_integers(d):
     sql(
         "periods",
         "SELECT match_id, period_type, CAST(period_number AS BIGINT) AS period_number, "
-        "round(home_possessions, 6) AS home_possessions FROM periods",
+        "round(home_possessions, 6) AS home_possessions, round(away_possessions, 6) AS away_possessions FROM periods",
     ),
 )
 def possessions(d):
-    poss = boxmath.possessions(
-        *[F.col(f"home_{c}") for c in ("fga", "fta", "off_reb", "turnovers")]
-    )
-    out = d.periods.select("match_id", "period_type", "period_number", poss.alias("home_possessions"))
-    return as_long(rounded(out, "home_possessions"), "period_number")
+    sides = {
+        f"{side}_possessions": boxmath.possessions(*[F.col(f"{side}_{c}") for c in ("fga", "fta", "off_reb", "turnovers")])
+        for side in ("home", "away")
+    }
+    out = d.periods.select("match_id", "period_type", "period_number", *[v.alias(k) for k, v in sides.items()])
+    return as_long(rounded(out, *sides), "period_number")
 
 
 @query(
     "fn10_pace",
     sql(
         "periods",
-        """
-        SELECT match_id, period_type, CAST(period_number AS BIGINT) AS period_number,
-               round(away_possessions / CASE period_type WHEN 'QUARTER' THEN 10 WHEN 'OVERTIME' THEN 5 ELSE 40 END * 40, 2)
-               AS away_pace
-        FROM periods
-        """,
+        "SELECT match_id, period_type, CAST(period_number AS BIGINT) AS period_number, "
+        + ", ".join(
+            f"round({side}_possessions / CASE period_type WHEN 'QUARTER' THEN 10 WHEN 'OVERTIME' THEN 5 ELSE 40 END * 40, 2) AS {side}_pace"
+            for side in ("home", "away")
+        )
+        + " FROM periods",
     ),
 )
 def pace(d):
-    value = boxmath.pace(F.col("away_possessions"), F.col("period_type"))
-    return as_long(
-        d.periods.select("match_id", "period_type", "period_number", value.alias("away_pace")),
-        "period_number",
-    )
+    sides = [boxmath.pace(F.col(f"{s}_possessions"), F.col("period_type")).alias(f"{s}_pace") for s in ("home", "away")]
+    return as_long(d.periods.select("match_id", "period_type", "period_number", *sides), "period_number")
 
 
 @query(
@@ -482,25 +480,43 @@ FROM (SELECT DISTINCT match_id FROM lines) m LEFT JOIN (SELECT * FROM lines WHER
 """
 
 
+#: All columns of the strict box score, over the columns of the ``lines`` view.
+BOX = {
+    "home_fg_made": "q % 15",
+    "home_fg_attempted": "15 + q % 12",
+    "home_three_made": "x % 12",
+    "home_three_attempted": "x % 17",
+    "home_ft_made": "1 + x % 5",
+    "home_ft_attempted": "2 + x % 7",
+    "home_off_reb": "q % 5",
+    "home_def_reb": "20 + q % 9",
+    "home_turnovers": "x % 6",
+    "away_fg_made": "k % 16",
+    "away_fg_attempted": "15 + k % 12",
+    "away_three_made": "s % 5",
+    "away_three_attempted": "5 + s % 17",
+    "away_ft_made": "s % 3",
+    "away_ft_attempted": "2 + s % 7",
+    "away_off_reb": "k % 5",
+    "away_def_reb": "20 + k % 9",
+    "away_turnovers": "s % 6",
+}
+
+
 @query(
     "fn16_strict_statistics",
     sql(
         "lines",
-        """
-        SELECT match_id, reject_reason, CASE WHEN reject_reason IS NULL THEN q % 15 END AS home_fg_made,
-               CASE WHEN reject_reason IS NULL THEN s % 5 END AS away_three_made,
-               CASE WHEN reject_reason IS NULL THEN 20 + q % 9 END AS home_def_reb FROM strict
-        """,
+        "SELECT match_id, reject_reason, "
+        + ", ".join(f"CASE WHEN reject_reason IS NULL THEN {e} END AS {c}" for c, e in BOX.items())
+        + " FROM strict",
         strict=STRICT,
     ),
 )
 def strict_statistics(d):
     box = payloads.match_statistics(statistics(d).drop("payload"))
     good = F.col("reject_reason").isNull()
-    kept = ("home_fg_made", "away_three_made", "home_def_reb")
-    return as_long(
-        box.select("match_id", "reject_reason", *[F.when(good, F.col(c)).alias(c) for c in kept]), *kept
-    )
+    return as_long(box.select("match_id", "reject_reason", *[F.when(good, F.col(c)).alias(c) for c in BOX]), *BOX)
 
 
 ADVANCED_FROM_BOX = """

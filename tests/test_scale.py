@@ -9,10 +9,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tipoff.config import SCALE, ScaleSettings
+
 from tipoff.operators import fills, metrics, scale, splits
 
-HOT = ScaleSettings(hot_rows=5)
 
 
 @pytest.fixture(scope="module")
@@ -44,16 +43,66 @@ def test_split_latest_equals_a_ranked_one(contests, rows):
     size = F.count("*").over(Window.partitionBy("league"))
     ranked = contests.withColumn("split", F.when(
         F.row_number().over(latest) <= F.greatest(F.lit(1), F.floor(size * 0.2)), "test").otherwise("train"))
-    for limits in (SCALE, HOT):
-        got = splits.split_latest(contests, "league", limits=limits).select("match_id", "split")
-        assert rows(got) == rows(ranked.select("match_id", "split"))
+    got = splits.split_latest(contests, "league").select("match_id", "split")
+    assert rows(got) == rows(ranked.select("match_id", "split"))
 
 
 def test_rows_without_a_league_are_in_neither_part(contests):
     none = contests.withColumn("league", F.when(F.col("match_id") % 5 > 0, F.col("league")))
-    for limits in (SCALE, HOT):
-        got = splits.split_latest(none, "league", limits=limits).collect()
-        assert len(got) == 400 and all((r["split"] is None) == (r["league"] is None) for r in got)
+    got = splits.split_latest(none, "league").collect()
+    assert len(got) == 400 and all((r["split"] is None) == (r["league"] is None) for r in got)
+
+
+@pytest.mark.parametrize("kind", ["one time", "few times", "some without", "spread"])
+def test_rank_cut_with_ties_and_large_ids(spark, kind):
+    """Ties of thousands, missing times, ids past the doubles: the row at each rank is the sorted one."""
+    n = 5000
+    ids = [2**62 + 3 * (i * 7919 % n) for i in range(n)]
+    times = {
+        "one time": lambda i: 77,
+        "few times": lambda i: i % 3,
+        "some without": lambda i: None if i % 4 == 0 else i % 50,
+        "spread": lambda i: i * i,
+    }[kind]
+    data = [("ab"[i % 5 == 0], ids[i], times(i)) for i in range(n)]
+    df = spark.createDataFrame(data, "g string, id long, t long").repartition(7)
+    order = {"_t": F.coalesce("t", F.lit(splits.NO_TIME)), "_id": F.col("id")}
+    ranks = {"first": lambda c: F.lit(1), "some": lambda c: F.floor(c * 0.37), "last": lambda c: c, "no": lambda c: c + 1}
+    for group in (["g"], []):
+        got = {(*[r[c] for c in group], r["_label"]): (r["_t"], r["_id"], r["_size"]) for r in scale.rank_cut(df, group, order, ranks).collect()}
+        want = {}
+        for key in {(d[0],) if group else () for d in data}:
+            own = sorted((d[2] if d[2] is not None else splits.NO_TIME, d[1]) for d in data if not group or d[0] == key[0])
+            for label, rank in (("first", 1), ("some", int(len(own) * 0.37)), ("last", len(own))):
+                want[(*key, label)] = (*own[rank - 1], len(own))
+        assert got == want
+
+
+def test_splits_run_no_job_before_they_are_read(spark, contests):
+    spark.sparkContext.setJobGroup("building", "")
+    built = [splits.split_latest(contests, "league"), splits.split_three_ways(contests, 0.6, 0.2), splits.split_two_ways(contests)]
+    built.append(metrics.exact_quantiles(contests, ["league"], "x", [0.5]))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == 0
+    spark.sparkContext.setJobGroup("reading", "")
+    assert all(df.count() for df in built)
+
+
+def test_splits_of_nothing_and_of_everything(contests):
+    assert splits.split_three_ways(contests.where("false"), 0.6, 0.2).count() == 0
+    whole = splits.split_three_ways(contests, 0.5, 0.5).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in whole} == {"train": 200, "validation": 200}
+    none = contests.withColumn("scheduled_at", F.when(F.col("match_id") % 3 > 0, F.col("scheduled_at")))
+    parts = splits.split_two_ways(none, 0.1).where("split = 'test'")
+    assert parts.count() == 40 and parts.where("scheduled_at IS NULL").count() == 0
+
+
+def test_quantiles_of_values_close_together(spark):
+    """Values in a thousandth, a few far away: the cells follow the data."""
+    rng = np.random.default_rng(3)
+    values = [*(rng.random(4000) / 1000).tolist(), *[1e9] * 5, -4.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    got = {r["q"]: r["x"] for r in metrics.exact_quantiles(df, [], "x", [0.0, 0.01, 0.5, 0.977, 1.0]).collect()}
+    assert all(v == pytest.approx(np.percentile(values, 100 * q), rel=1e-12) for q, v in got.items())
 
 
 def test_every_league_has_a_test_row(contests):
@@ -77,7 +126,7 @@ def test_two_way_split_rounds_test_up(spark):
 def test_quantiles_match_numpy(contests):
     got = {
         (r["league"], r["q"]): r["x"]
-        for r in metrics.exact_quantiles(contests, ["league"], "x", [0.025, 0.5, 0.9], 2.0).collect()
+        for r in metrics.exact_quantiles(contests, ["league"], "x", [0.025, 0.5, 0.9]).collect()
     }
     pdf = contests.toPandas()
     for league, g in pdf.groupby("league"):

@@ -7,44 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.operators.scale import running
+from tipoff.operators.scale import rank_cut, running
 
 # Fixed value: probabilities are kept this far from 0 and 1 in the log loss.
 PROBABILITY_FLOOR = 2.220446049250313e-16
 
 
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], cell_width: float = 1.0
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Interpolating quantiles per group, one row per (group, ``q``).
 
-    Rows are counted per distinct value first, the counts are accumulated cell by cell of
-    ``cell_width``, and the two neighbours of each rank are picked by their cumulative range.
+    The two neighbours of each rank are found by counting inside a bracket of a sketch, see
+    ``rank_cut``, so cells follow the data however it is spread.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    cum = running(
-        counts,
-        by,
-        [value],
-        {"_upto": ("sum", F.col("_n"))},
-        cell=F.floor(F.col(value) / cell_width),
-    )
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    q = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    ranks = (
-        sizes.withColumn("q", q)
-        .withColumn("_at", F.col("q") * (F.col("_all") - 1))
-        .withColumn("_lo", F.floor("_at"))
-        .withColumn("_hi", F.ceil("_at"))
-    )
-    inside = lambda r: (F.col(r) >= F.col("_upto") - F.col("_n")) & (F.col(r) < F.col("_upto"))
-    hit = cum.join(ranks, list(by), "inner").where(inside("_lo") | inside("_hi"))
+    known = df.where(F.col(value).isNotNull())
+    ranks = {}
+    for i, p in enumerate(probs):
+        ranks[f"{i}a"] = lambda n, p=p: F.floor((n - 1) * p) + 1
+        ranks[f"{i}b"] = lambda n, p=p: F.ceil((n - 1) * p) + 1
+    found = rank_cut(known, by, {"_value": F.col(value)}, ranks)
+    q = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.expr("CAST(left(_label, length(_label) - 1) AS INT)"))
+    at = F.col("q") * (F.col("_size") - 1)
+    a, b = F.min("_value"), F.max("_value")
     return (
-        hit.groupBy(*by, "q", "_at", "_lo")
-        .agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
-        .select(
-            *by, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.col("_lo"))).alias(value)
-        )
+        found.withColumn("q", q)
+        .groupBy(*by, "q", "_size")
+        .agg(a.alias("_a"), b.alias("_b"))
+        .select(*by, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * (at - F.floor(at))).alias(value))
     )
 
 

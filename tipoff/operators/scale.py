@@ -8,12 +8,11 @@ known to be short take the plain window, which needs one shuffle less.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipoff.session import staged
 
 
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
@@ -105,41 +104,68 @@ def split_blocks(df: DataFrame, pos: str, size: int, halo: int) -> DataFrame:
     return df.withColumn("_block", F.explode(targets)).withColumn("_own", F.col("_block") == own)
 
 
+#: A sketch of a group's values has so many equal parts, and is off by less than a sixteenth of one.
+SKETCH_PARTS, SKETCH_ACCURACY = 256, 4096
+
+
+def _sketch(rows: DataFrame, on: Sequence[str], value: str) -> DataFrame:
+    points = F.array(*[F.lit(i / SKETCH_PARTS) for i in range(SKETCH_PARTS + 1)])
+    sketch = F.percentile_approx(value, points, F.lit(SKETCH_ACCURACY)).alias("_points")
+    return rows.groupBy(*on).agg(F.count("*").alias("_size"), sketch)
+
+
 def rank_cut(
     df: DataFrame,
     group: Sequence[str],
-    levels: Mapping[str, Column],
-    wanted: DataFrame,
+    order: Mapping[str, Column],
+    ranks: Mapping[str, Callable[[Column], Column]],
 ) -> DataFrame:
-    """For each group, the row at rank ``_rank`` (1-based) when ordered by ``levels``.
+    """For each group and each of ``ranks``, the row at that rank (1-based) when ordered by ``order``.
 
-    ``levels`` go from coarse to fine and together order the rows; the last one is unique.
-    Each step counts one level (combined map-side), keeps the value the rank falls into and
-    subtracts the rows before it, so no step sorts more than one cell of a group.
-    ``wanted`` holds the group columns, ``_rank`` and any labels to keep; one group may ask for
-    several ranks. Returns group columns, labels and levels. ``group`` may be empty.
+    A rank is a function of the group's size; one beyond the size has no row. ``order`` are numbers
+    without NULL that together tell rows apart. Returns the group columns, ``_label`` (the name in
+    ``ranks``), the columns of ``order`` and ``_size``, the group's size.
+
+    One plan and no job of its own. For each column of ``order``, a mergeable quantile sketch gives
+    a bracket of values around the rank, wider than the sketch can err. The next pass counts rows below
+    the bracket and by value inside it, combined map-side, and the value is picked by its cumulative
+    range. So the rank is exact, only values of a few parts in 256 are sorted, and equal values are
+    counted as one; rows that share the value go on to the next column.
     """
-    extra = [c for c in wanted.columns if c not in (*group, "_rank")]
-    target = wanted
-    found: list[str] = []
-    rows = df.select(*group, *[expr.alias(name) for name, expr in levels.items()])
-    for name in levels:
-        on = [*group, *found]
-        inside = rows.join(target.select(*on).distinct(), on, "left_semi") if found else rows
-        counts = inside.groupBy(*on, name).agg(F.count("*").alias("_n"))
-        upto = (
-            Window.partitionBy(*on)
-            .orderBy(name)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        cells = counts.withColumn("_upto", F.sum("_n").over(upto))
-        hit = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
-        # written: each level reads the one before twice
-        target = staged(
-            (cells.join(target, on, "inner") if on else cells.crossJoin(target))
-            .where(hit)
-            .select(*on, *extra, name, (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank")),
-            "rank-cut",
-        )
-        found.append(name)
-    return target.drop("_rank")
+    on = list(group) or ["_all"]
+    rows = df.select(*group, *[expr.alias(name) for name, expr in order.items()])
+    if not group:
+        rows = rows.withColumn("_all", F.lit(0))
+    names = list(order)
+    sized = _sketch(rows, on, names[0])
+    wanted = F.array(*[F.struct(F.lit(x).alias("_label"), rank(F.col("_size")).cast("long").alias("_rank")) for x, rank in ranks.items()])
+    target = sized.select(*on, F.col("_size").alias("_total"), "_size", "_points", F.inline(wanted))
+    target = target.where("_rank BETWEEN 1 AND _size")
+    for i, name in enumerate(names):
+        at = [*on, *names[:i]]
+        if i:
+            ties = rows.join(_few(target.select(*at).distinct(), group), at, "left_semi")
+            target = target.join(_sketch(ties, at, name), at)
+        part = F.floor((F.col("_rank") - 1) / F.col("_size") * SKETCH_PARTS).cast("int")
+        bracket = target.select(
+            *at, "_label", "_rank", "_total",
+            F.when(part >= 2, F.get("_points", part - 2)).alias("_low"),
+            F.when(part + 3 <= SKETCH_PARTS, F.get("_points", part + 3)).alias("_high"),
+        )
+        # The sketch sees doubles, so large numbers are compared as such, and ordered as they are.
+        own = F.col(name).cast("double")
+        inside = F.col("_low").isNull() | (own >= F.col("_low").cast("double"))
+        held = rows.join(_few(bracket, group), at).where(F.col("_high").isNull() | (own <= F.col("_high").cast("double")))
+        # The row without a value stands for all rows below the bracket.
+        counts = held.withColumn(name, F.when(inside, F.col(name))).groupBy(*at, "_label", "_rank", "_total", name)
+        order_by = Window.partitionBy(*at, "_label").orderBy(F.col(name).asc_nulls_first())
+        upto = F.sum("_n").over(order_by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        cells = counts.agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+        hit = F.col(name).isNotNull() & (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
+        target = cells.where(hit).select(*at, name, "_label", "_total", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
+    return target.select(*group, "_label", *names, F.col("_total").alias("_size"))
+
+
+def _few(targets: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Without groups there is one row for each rank asked for."""
+    return targets if group else F.broadcast(targets)

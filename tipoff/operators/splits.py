@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tipoff.config import SCALE, ScaleSettings
 from tipoff.operators.scale import rank_cut
 from tipoff.operators.timeline import micros
 
 TEST_FRACTION = 0.20
 
 
-def _levels(ts: str, tie: str, limits: ScaleSettings) -> dict[str, Column]:
-    us = micros(ts)
-    return {
-        "_l0": F.floor(us / F.lit(limits.cell_seconds * 1_000_000)),
-        "_l1": us,
-        "_l2": F.floor(F.col(tie) / 65_536),
-        "_l3": F.col(tie),
-    }
+#: Rows without a time come before all others.
+NO_TIME = -(2**63)
 
 
-def _at_or_after(ts: str, tie: str, us: str, key: str) -> Column:
-    own = micros(ts)
-    return (own > F.col(us)) | ((own == F.col(us)) & (F.col(tie) >= F.col(key)))
+def _order(ts: str, tie: str) -> dict[str, Column]:
+    return {"_us": F.coalesce(micros(ts), F.lit(NO_TIME)), "_key": F.col(tie)}
+
+
+def _at_or_after(ts: str, tie: str, us: Column, key: Column) -> Column:
+    own = _order(ts, tie)
+    return (own["_us"] > us) | ((own["_us"] == us) & (own["_key"] >= key))
 
 
 def split_latest(
@@ -36,7 +32,6 @@ def split_latest(
     fraction: float = TEST_FRACTION,
     ts: str = "scheduled_at",
     tie: str = "match_id",
-    limits: ScaleSettings = SCALE,
 ) -> DataFrame:
     """Add ``split``: the last ``max(1, int(n * fraction))`` rows of each group are ``test``.
 
@@ -44,63 +39,51 @@ def split_latest(
     compared with its group's cut, so contests are never sorted. A row without a group belongs
     to neither part; its ``split`` is NULL.
     """
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_n"))
-    n_test = F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))
-    wanted = sizes.select(group, (F.col("_n") - n_test + 1).alias("_rank"))
-    cuts = rank_cut(df, [group], _levels(ts, tie, limits), wanted).select(
-        group, F.col("_l1").alias("_cut_us"), F.col("_l3").alias("_cut_tie")
-    )
+    first = {"test": lambda n: n - F.greatest(F.lit(1), F.floor(n * fraction)) + 1}
+    cuts = rank_cut(df.where(F.col(group).isNotNull()), [group], _order(ts, tie), first)
+    cuts = cuts.select(group, F.col("_us").alias("_cut_us"), F.col("_key").alias("_cut_key"))
     joined = df.join(cuts, group, "left")
-    is_test = _at_or_after(ts, tie, "_cut_us", "_cut_tie")
+    is_test = _at_or_after(ts, tie, F.col("_cut_us"), F.col("_cut_key"))
     return joined.withColumn(
         "split", F.when(is_test, F.lit("test")).when(F.col(group).isNotNull(), F.lit("train"))
-    ).drop("_cut_us", "_cut_tie")
+    ).drop("_cut_us", "_cut_key")
 
 
 def split_at(
     df: DataFrame,
-    cuts: Sequence[tuple[str, int]],
+    ends: Mapping[str, Callable[[Column], Column]],
     last: str,
-    total: int | None = None,
     ts: str = "scheduled_at",
     tie: str = "match_id",
-    limits: ScaleSettings = SCALE,
 ) -> DataFrame:
-    """Add ``split`` over all rows in time order: ``cuts`` are (name, rows up to its end).
+    """Add ``split`` over all rows in time order: ``ends`` gives for each part but the last, in order,
+    how many of n rows come up to its end.
 
-    All rows form one sequence, so the cut rows are located by counting cells of time; no
-    unpartitioned sort of the data takes place.
+    All rows form one sequence, so the cut rows are located by counting; no unpartitioned sort of
+    the data takes place, and the cuts reach the rows as a scalar subquery.
     """
-    spark = df.sparkSession
-    total = df.count() if total is None else total
-    inner = [(name, end) for name, end in cuts if end < total]
-    wanted = spark.createDataFrame([(name, end + 1) for name, end in inner], "_name string, _rank long")
-    found = {
-        r["_name"]: (r["_l1"], r["_l3"])
-        for r in (rank_cut(df, [], _levels(ts, tie, limits), wanted).collect() if inner else [])
-    }
-    own, key = micros(ts), F.col(tie)
+    first = {name: (lambda n, end=end: end(n) + 1) for name, end in ends.items()}
+    found = rank_cut(df, [], _order(ts, tie), first)
+    entry = F.struct("_label", F.struct("_us", "_key"))
+    cuts = found.agg(F.map_from_entries(F.collect_list(entry)).alias("cuts")).scalar()
     split = F.lit(last)
-    for name, end in reversed(list(cuts)):
-        if name in found:
-            us, at = found[name]
-            split = F.when((own < us) | ((own == us) & (key < at)), F.lit(name)).otherwise(split)
-        elif end >= total:
-            split = F.lit(name)
+    for name in reversed(list(ends)):
+        cut = F.try_element_at(cuts, F.lit(name))
+        # A part that takes all rows has no row behind its end.
+        behind = F.coalesce(_at_or_after(ts, tie, cut["_us"], cut["_key"]), F.lit(False))
+        split = F.when(behind, split).otherwise(F.lit(name))
     return df.withColumn("split", split)
 
 
 def split_three_ways(df: DataFrame, train: float, validation: float, **kw) -> DataFrame:
     """Leading ``int(n * train)`` rows, next up to ``int(n * (train + validation))``, rest."""
-    n = df.count()
-    a, b = int(n * train), int(n * (train + validation))
-    return split_at(df, [("train", a), ("validation", b)], "test", n, **kw)
+    ends = {"train": lambda n: F.floor(n * train), "validation": lambda n: F.floor(n * (train + validation))}
+    return split_at(df, ends, "test", **kw)
 
 
 def split_two_ways(df: DataFrame, test: float = TEST_FRACTION, **kw) -> DataFrame:
     """Unshuffled split with ``ceil(n * test)`` test rows."""
-    n = df.count()
-    return split_at(df, [("train", n - math.ceil(n * test))], "test", n, **kw)
+    return split_at(df, {"train": lambda n: n - F.ceil(n * test)}, "test", **kw)
 
 
 def split_by_months(df: DataFrame, months: Sequence[int], ts: str = "scheduled_at") -> DataFrame:

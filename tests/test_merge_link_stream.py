@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tipoff.operators import linking, merge
 from tipoff.session import fresh_path
-from tipoff.sources import sinks
+from tipoff.sources import payloads, sinks
 from tipoff.streaming import enrichment
 
 
@@ -167,6 +167,49 @@ def test_only_touched_parts_are_written(spark):
     assert enrichment.stored(spark, root).count() == 200
 
 
+def test_listings_do_not_grow_with_batches(spark):
+    """Many merges: folders stay few, an old part stays readable, the newest rows win."""
+    root = fresh_path(spark, "table")
+
+    def rows(n, seq):
+        return spark.createDataFrame([(i, i, 1.0 * seq, seq) for i in n], "match_id long, team_id long, possessions double, seq long")
+
+    enrichment.merge_into(spark, root, rows(range(100), 1))
+    sizes = []
+    for seq in range(2, 14):
+        enrichment.merge_into(spark, root, rows([seq % 3], seq))
+        sizes.append((len(sinks._folders(spark, root)), len(sinks._folders(spark, f"{root}/manifest"))))
+    assert max(s[0] for s in sizes) <= 3 + 3 + 2 and max(s[1] for s in sizes) <= sinks.KEPT_MANIFESTS
+    got = {r["match_id"]: r["seq"] for r in enrichment.stored(spark, root).collect()}
+    assert len(got) == 100 and [got[i] for i in range(4)] == [12, 13, 11, 1]
+
+
+def test_an_unfinished_write_is_not_seen(spark):
+    root = fresh_path(spark, "table")
+    df = spark.createDataFrame([(1, 1, 1.0, 1)], "match_id long, team_id long, possessions double, seq long")
+    enrichment.merge_into(spark, root, df)
+    before = sinks.newest_parts(spark, root, "bucket")
+    df.withColumn("bucket", F.lit(5)).write.partitionBy("bucket").parquet(f"{root}/version=2")
+    assert sinks.newest_parts(spark, root, "bucket") == before
+    enrichment.merge_into(spark, root, df.withColumn("seq", F.lit(2).cast("long")))
+    assert [r["seq"] for r in enrichment.stored(spark, root).collect()] == [2]
+
+
+def test_malformed_lines_are_stored_and_the_rest_goes_on(spark):
+    landing, root, state, rejects = (fresh_path(spark, n) for n in ("land", "table", "state", "rejects"))
+    matches = spark.createDataFrame([(1, 11, 21, 100, 90)], "match_id long, home_team_id long, away_team_id long, home_score_final int, away_score_final int")
+    good = json.dumps({"match_id": 1, "seq": 1, "payload": _payload(70)})
+    lines = ['{"match_id": 1, "seq"', good, "not json", '{"match_id": "one", "seq": 1}', '{"seq": 4}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(landing)
+    enrichment.run_available(spark, landing, matches, root, state, rejects=rejects)
+    assert enrichment.run_counts(spark, root, rejects) == {"enriched": 2, "malformed line": 3, "no match id": 1}
+    kept = {r["malformed"] for r in spark.read.parquet(rejects).collect()}
+    assert kept == {lines[0], lines[2], lines[3], None}
+    read = payloads.read_json(spark, landing, enrichment.PAYLOAD_SCHEMA, "bad")
+    whole, bad = payloads.split_malformed(read, "bad")
+    assert whole.count() == 2 and {r["bad"] for r in bad.collect()} == {lines[0], lines[2], lines[3]}
+
+
 def test_rejected_payloads_have_reasons(spark):
     df = spark.createDataFrame([(1, 1, "{}"), (2, 1, _payload(20))], enrichment.PAYLOAD_SCHEMA)
     got = {r["match_id"]: r["reject_reason"] for r in enrichment.rejected(df).collect()}

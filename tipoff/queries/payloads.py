@@ -582,6 +582,56 @@ def stream_enrichment(d):
     return _advanced_columns(enrichment.stored(d.spark, root))
 
 
+@query(
+    "ss1_run_counts",
+    sql(
+        "contests lines",
+        """
+        SELECT reject_reason AS outcome, count(*) AS n FROM strict WHERE reject_reason IS NOT NULL GROUP BY 1
+        UNION ALL SELECT 'malformed line', count(DISTINCT match_id) FROM lines WHERE match_id % 50 = 7
+        UNION ALL SELECT 'enriched', count(*) FROM a WHERE poss > 0
+        """,
+        strict=STRICT,
+        a=ADVANCED_FROM_BOX.replace("FROM strict s JOIN", "FROM strict st JOIN")
+        .replace("SELECT s.match_id", "SELECT st.match_id")
+        .replace("c.match_id = s.match_id", "c.match_id = st.match_id"),
+    ),
+)
+def run_counts(d):
+    """Rows stored and payloads refused by reason, among them lines that break off."""
+    landing, root, state, rejects = (fresh_path(d.spark, f"run-{n}") for n in ("landing", "table", "state", "rejects"))
+    rows = views.statistics(d.lines).withColumn("seq", F.lit(1).cast("bigint"))
+    whole = rows.select(F.to_json(F.struct("match_id", "seq", "payload")).alias("value"))
+    broken = rows.where("match_id % 50 = 7").select(F.concat(F.lit('{"match_id": '), "match_id", F.lit(', "seq": 1, "payload": "{')).alias("value"))
+    whole.unionByName(broken).repartition(2).write.text(landing)
+    enrichment.run_available(d.spark, landing, d.contests, root, state, rejects=rejects)
+    counts = enrichment.run_counts(d.spark, root, rejects)
+    return d.spark.createDataFrame(sorted(counts.items()), "outcome string, n long")
+
+
+@query(
+    "src4_malformed_lines",
+    sql(
+        "lines",
+        """
+        SELECT count(DISTINCT match_id) AS n_whole, count(DISTINCT match_id) FILTER (WHERE match_id % 50 = 7) AS n_broken
+        FROM lines
+        """,
+    ),
+)
+def malformed_lines(d):
+    """Landed lines read whole, and those kept as text."""
+    path = fresh_path(d.spark, "broken-landing")
+    rows = views.statistics(d.lines)
+    whole = rows.select(F.to_json(F.struct("match_id", "payload")).alias("value"))
+    broken = rows.where("match_id % 50 = 7").select(F.concat(F.lit('{"match_id": "'), "match_id", F.lit('x", ')).alias("value"))
+    whole.unionByName(broken).write.text(path)
+    read = payloads.read_json(d.spark, path, "match_id bigint, payload string", "malformed")
+    good, bad = payloads.split_malformed(read, "malformed")
+    n_good, n_bad = good.agg(F.count("match_id").alias("n_whole")), bad.agg(F.count("malformed").alias("n_broken"))
+    return n_good.withColumn("n_broken", n_bad.scalar())
+
+
 @query(
     "fn17_quarter_rows",
     sql(

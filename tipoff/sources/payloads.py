@@ -13,6 +13,7 @@ from tipoff.config import PERIOD_LABELS, STATUS_BY_SOURCE
 from tipoff.functions import boxmath, parse
 from tipoff.functions.text import normalise_name
 from tipoff.schema import EVENT, LINE_RESPONSE, STATISTICS
+from tipoff.session import staged
 
 # Metric labels of the payloads and the bounds of the score object.
 FIELD_GOALS = "field goals"
@@ -25,9 +26,27 @@ WHOLE_GAME = "ALL"
 OVERTIME_KEYS = range(5, 10)
 
 
-def read_json(spark, path: str, schema: str) -> DataFrame:
-    """Landed JSON files with a declared schema; no inference pass."""
-    return spark.read.schema(schema).json(path)
+def read_json(spark, path: str, schema: str, malformed: str | None = None) -> DataFrame:
+    """Landed JSON files with a declared schema; no inference pass.
+
+    ``malformed`` names a column for the text of lines that are no JSON or do not fit the schema;
+    without it their rows are all NULL.
+    """
+    if not malformed:
+        return spark.read.schema(schema).json(path)
+    reader = spark.read.schema(f"{schema}, {malformed} string").option("mode", "PERMISSIVE")
+    return reader.option("columnNameOfCorruptRecord", malformed).json(path)
+
+
+def split_malformed(rows: DataFrame, malformed: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that were read whole, and the text of the others with the file it came from.
+
+    The rows are parsed once, with all their columns, and stored: which lines are malformed would
+    otherwise depend on the columns that a later step reads.
+    """
+    read = staged(rows.withColumn("_file", F.input_file_name()), "landed")
+    bad = F.col(malformed).isNotNull()
+    return read.where(~bad).drop(malformed, "_file"), read.where(bad).select(malformed, F.col("_file").alias("file"))
 
 
 def parse_statistics(text: Column) -> Column:

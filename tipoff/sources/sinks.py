@@ -13,19 +13,66 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def publish(df: DataFrame, root: str, partition_by: str | None = None) -> int:
+def publish(df: DataFrame, root: str) -> int:
     """Write the next snapshot of a table below ``root`` and return its version.
 
     Readers take the largest version with a success marker, so a failed write is never seen
-    and the snapshot a job reads is never overwritten by it. With ``partition_by`` a version holds
-    only the parts that were written, see ``newest_parts``.
+    and the snapshot a job reads is never overwritten by it.
     """
     version = (latest_version(df.sparkSession, root) or 0) + 1
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{root}/version={version}")
+    df.write.mode("overwrite").parquet(f"{root}/version={version}")
     return version
 
 
+#: Manifests that are kept; a reader has as many writes to finish in.
+KEPT_MANIFESTS = 3
+MANIFEST = "manifest"
+
+
+def publish_parts(df: DataFrame, root: str, column: str) -> int:
+    """Write the parts of a table that ``df`` holds, one for each value of ``column``; the others stay.
+
+    A manifest names the newest version of every part. It is written after the data, so a failed
+    write is never seen and a repeated one takes the same version. Versions that no kept manifest
+    names are removed: what a write or a read lists does not grow with the number of writes.
+    """
+    spark = df.sparkSession
+    manifests = _manifests(spark, root)
+    version = max(manifests, default=0) + 1
+    df.write.mode("overwrite").partitionBy(column).parquet(f"{root}/version={version}")
+    folders = _folders(spark, f"{root}/version={version}")
+    parts = _parts(spark, root, max(manifests, default=0))
+    parts |= {name.split("=", 1)[1]: version for name in folders if name.startswith(f"{column}=")}
+    rows = spark.createDataFrame(sorted(parts.items()), "part string, version long").coalesce(1)
+    rows.write.mode("overwrite").parquet(f"{root}/{MANIFEST}/version={version}")
+    kept = sorted([*manifests, version])[-KEPT_MANIFESTS:]
+    old = [v for v in manifests if v not in kept]
+    if old:
+        named = {v for m in kept for v in (parts if m == version else _parts(spark, root, m)).values()}
+        for m in old:
+            for v in {*_parts(spark, root, m).values(), m} - named:
+                _remove(spark, f"{root}/version={v}")
+            _remove(spark, f"{root}/{MANIFEST}/version={m}")
+    return version
+
+
+def _manifests(spark: SparkSession, root: str) -> list[int]:
+    """Versions of the complete manifests."""
+    found = _folders(spark, f"{root}/{MANIFEST}")
+    return sorted(int(name.split("=")[1]) for name, path in found.items() if is_complete(spark, path))
+
+
+def _parts(spark: SparkSession, root: str, manifest: int) -> dict[str, int]:
+    if not manifest:
+        return {}
+    return dict(spark.read.parquet(f"{root}/{MANIFEST}/version={manifest}").select("part", "version").collect())
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _folders(spark: SparkSession, path: str) -> dict[str, str]:
     """Names of the folders in a folder, with their paths."""
     jvm = spark.sparkContext._jvm
@@ -36,14 +83,9 @@ def _folders(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def newest_parts(spark: SparkSession, root: str, column: str) -> dict[str, str]:
-    """For each value of ``column`` the folder of its newest complete version."""
-    out: dict[str, str] = {}
-    for version in range(1, (latest_version(spark, root) or 0) + 1):
-        if is_complete(spark, f"{root}/version={version}"):
-            for name, path in _folders(spark, f"{root}/version={version}").items():
-                if name.startswith(f"{column}="):
-                    out[name.split("=", 1)[1]] = path
-    return out
+    """For each value of ``column`` the folder of its newest version, by the newest manifest."""
+    parts = _parts(spark, root, max(_manifests(spark, root), default=0))
+    return {part: f"{root}/version={version}/{column}={part}" for part, version in parts.items()}
 
 
 def is_complete(spark: SparkSession, folder: str) -> bool:

@@ -16,25 +16,47 @@ ROW_KEY = ["match_id", "team_id"]
 BUCKETS = 64
 
 
+#: Where the reader puts a line that is no JSON or does not fit the schema.
+MALFORMED = "malformed"
+
+
 def box_scores(batch: DataFrame) -> DataFrame:
-    return payloads.match_statistics(
+    """Box scores of landed payloads with ``reject_reason``; malformed lines are kept with theirs."""
+    box = payloads.match_statistics(
         batch.withColumn("statistics", payloads.parse_statistics(F.col("payload")))
     ).drop("payload")
+    if MALFORMED not in box.columns:
+        box = box.withColumn(MALFORMED, F.lit(None).cast("string"))
+    return box.withColumn(
+        "reject_reason",
+        F.when(F.col(MALFORMED).isNotNull(), F.lit("malformed line"))
+        .when(F.col("match_id").isNull(), F.lit("no match id"))
+        .otherwise(F.col("reject_reason")),
+    )
 
 
-def enrich(batch: DataFrame, matches: DataFrame) -> DataFrame:
-    """Advanced rows of a set of payloads with their ``seq``: strict box score, ratings, the last per key."""
+def enriched(box: DataFrame, matches: DataFrame) -> DataFrame:
+    """Advanced rows of box scores with their ``seq``: strict box score, ratings, the last per key."""
     facts = matches.select(
         "match_id", "home_team_id", "away_team_id", "home_score_final", "away_score_final"
     )
-    usable = last_per_key(box_scores(batch).where(F.col("reject_reason").isNull()), ["match_id"], ["seq"])
+    usable = last_per_key(box.where(F.col("reject_reason").isNull()).drop(MALFORMED), ["match_id"], ["seq"])
     rows = payloads.advanced_rows(usable.withColumn("reject_reason", F.lit(None)).join(facts, "match_id"))
     return rows.join(usable.select("match_id", "seq"), "match_id")
 
 
+def enrich(batch: DataFrame, matches: DataFrame) -> DataFrame:
+    """``enriched`` of a set of payloads."""
+    return enriched(box_scores(batch), matches)
+
+
+def refused(box: DataFrame) -> DataFrame:
+    return box.where(F.col("reject_reason").isNotNull()).select("match_id", "seq", "reject_reason", MALFORMED)
+
+
 def rejected(batch: DataFrame) -> DataFrame:
-    box = box_scores(batch)
-    return box.where(F.col("reject_reason").isNotNull()).select("match_id", "seq", "reject_reason")
+    """``refused`` of a set of payloads."""
+    return refused(box_scores(batch))
 
 
 def _bucket(df: DataFrame) -> DataFrame:
@@ -67,7 +89,7 @@ def merge_into(spark: SparkSession, root: str, changes: DataFrame) -> None:
     if base is not None:
         rows = rows.unionByName(_bucket(base).withColumn("_new", F.lit(0)))
     merged = last_per_key(rows, ROW_KEY, ["seq", "_new"]).drop("_new")
-    sinks.publish(merged, root, partition_by="bucket")
+    sinks.publish_parts(merged, root, "bucket")
 
 
 def run_available(
@@ -82,16 +104,19 @@ def run_available(
     """Process every landed file not seen yet, then stop; a rerun goes on from there.
 
     A batch repeated after a failure gives the same table. Payloads that cannot be used are
-    written below ``rejects`` with the reason and their batch, one folder for each batch.
+    written below ``rejects`` with the reason and their batch, one folder for each batch; of a
+    malformed line the text is kept, and the lines around it go on. A batch is parsed once.
     """
-    reader = spark.readStream.schema(PAYLOAD_SCHEMA)
+    reader = spark.readStream.schema(f"{PAYLOAD_SCHEMA}, {MALFORMED} string")
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        merge_into(spark, root, enrich(batch, matches))
+        box = staged(box_scores(batch), "batch")
+        merge_into(spark, root, enriched(box, matches))
         if rejects:
-            rejected(batch).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+            refused(box).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
     query = (
         reader.json(landing)

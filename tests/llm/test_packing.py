@@ -1,16 +1,16 @@
 from __future__ import annotations
 
-import os
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from tests.llm.conftest import ODD
 from tokenizers import Tokenizer
 
-from tipoff.llm.packing import TOKENIZER_FOLDER, WordTokenizer, binary_pieces, pack
+from tipoff.llm.packing import WordTokenizer, binary_pieces, pack, write_buckets
 
 TRICKY = [
     "", " a", "a ", "a  b", "a\nb", "a\n b", "foo\xa0bar baz", "it's I'll don't 12abc,", "x\ty", "a <|endoftext|> b",
@@ -20,12 +20,12 @@ TRICKY = [
 
 @pytest.fixture(scope="module")
 def plain():
-    return Tokenizer.from_file(os.path.join(TOKENIZER_FOLDER, "byte_bpe_50k.json"))
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_equal_the_tokenizer(plain, documents):
     texts = TRICKY + [t for _, t in documents[1]]
-    got = WordTokenizer(TOKENIZER_FOLDER, most_words=500).encode(pa.array(texts))
+    got = WordTokenizer(most_words=500).encode(pa.array(texts))
     want = plain.encode_batch(texts, add_special_tokens=False)
     assert [g.tolist() for g in got] == [w.ids for w in want]
 
@@ -56,3 +56,22 @@ def test_pieces_cover_each_document(make, plain):
 
 def test_pack_nothing(make):
     assert pack(make([])).count() == 0
+
+
+def test_buckets_hold_one_length_each(make, documents, tmp_path):
+    """Stored pieces: a folder for each length, and the documents' ids back from all of them."""
+    picked = sorted(documents[1])[:60]
+    pieces = pack(make([(i, t, "en", "a") for i, t in picked]), with_ids=True)
+    path = str(tmp_path / "buckets")
+    write_buckets(pieces, path)
+    stored = pieces.sparkSession.read.parquet(path)
+    back: dict = {}
+    for r in sorted(stored.collect(), key=lambda r: (r["doc_id"], r["start"])):
+        assert len(r["ids"]) == r["length"] and r["length"] & (r["length"] - 1) == 0
+        back.setdefault(r["doc_id"], []).extend(r["ids"])
+    want = {r["doc_id"]: [] for r in pieces.collect()}
+    for r in sorted(pieces.collect(), key=lambda r: (r["doc_id"], r["start"])):
+        want[r["doc_id"]].extend(r["ids"])
+    assert back == want
+    one = pieces.sparkSession.read.parquet(f"{path}/length=64")
+    assert one.count() == pieces.where("length = 64").count()

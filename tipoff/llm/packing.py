@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from tipoff.llm.common import query, table
 from tipoff.llm.textbytes import SPACE, SpanHash, Words, raw, slices
 
-TOKENIZER_FOLDER = "/opt/tokenizers"
 END_ID = 0
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -35,17 +34,20 @@ class WordTokenizer:
     space, white space at an end, other space characters, the end-of-text mark) is encoded whole.
     """
 
-    def __init__(self, folder: str, name: str = "byte_bpe_50k", most_words: int = 2_000_000):
+    def __init__(self, folder: str | None = None, name: str = "byte_bpe_50k", most_words: int = 2_000_000):
         import base64
 
+        import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(os.path.join(folder, f"{name}.json"))
-        with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as lines:
+        def at(file: str) -> str:
+            return os.path.join(folder, file) if folder else public_tokenizers.path(file)
+
+        self.whole = Tokenizer.from_file(at(f"{name}.json"))
+        with open(at(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.words = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.words = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.line_feed = self.words.encode_ordinary("\n")
         self.hasher, self.most_words = SpanHash(8), most_words
         self._empty()
@@ -139,7 +141,7 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
     return pieces
 
 
-def _packer(folder: str, longest: int, end_id: int, with_ids: bool) -> Callable:
+def _packer(folder: str | None, longest: int, end_id: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(folder)
         # Numbers of a task's sequences: its partition, then a count.
@@ -174,7 +176,7 @@ def pack(
     text_col: str = "text",
     longest: int = 1024,
     end_id: int = END_ID,
-    tokenizer_folder: str = TOKENIZER_FOLDER,
+    tokenizer_folder: str | None = None,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (, ids).
@@ -184,6 +186,8 @@ def pack(
     none is padded, and batches are drawn from the bucket of one ``length``; ``write_buckets``
     stores them so. It takes one pass over the texts and no shuffle, whatever the sources' sizes.
 
+    Without ``tokenizer_folder`` each worker takes the files of its own ``public_tokenizers``.
+
     A null or empty text is the end id alone. Rows that repeat a document are packed as often as
     they come. A null id stays null. Sequence numbers are unique in one result; they follow the
     partitions of the input. Extra columns are ignored, an empty table gives an empty result.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -88,12 +90,33 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Remove the tables that ``staged`` has written in this application; results read from them
-    must have been stored before. Returns how many there were."""
+def staged_tables(spark: SparkSession) -> list[str]:
+    """Folders of the tables that ``staged`` has written in this application and that are still there, oldest first."""
+    return list(_STAGED.get(spark.sparkContext.applicationId, []))
+
+
+def drop_staged(spark: SparkSession, paths: Iterable[str] | None = None) -> int:
+    """Remove tables that ``staged`` has written, all of this application or only ``paths``.
+
+    What was read from them must have been stored before. Folders that ``staged`` did not write
+    are left alone. Returns how many tables went.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
+    known = staged_tables(spark)
+    wanted = set(known if paths is None else paths)
+    going = [path for path in known if path in wanted]
+    for path in going:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-    return len(paths)
+    _STAGED[spark.sparkContext.applicationId] = [path for path in known if path not in wanted]
+    return len(going)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove shuffle files that no DataFrame needs any more.
+
+    It does so when the garbage collector of the driver finds them unused. In a chain of large
+    steps that would come too late, so it is asked for.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

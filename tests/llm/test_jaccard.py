@@ -92,6 +92,45 @@ def test_documents(make, documents):
     assert got(df) == brute(documents[1])
 
 
+def test_rare_elements_part_texts_that_quote_one_passage(make, llm):
+    from tipoff.llm.jaccard import _packed, rare_classes
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets, links = {}, []
+    passage = rng.integers(0, 1 << 48, 60, dtype=np.uint64)
+    for i in range(80):
+        own = rng.integers(0, 1 << 48, 100, dtype=np.uint64)
+        sets[2 * i] = np.concatenate([passage, own])
+        if i < 20:
+            # A partner at the bound: of 160 elements it has 143 in common with it, and 17 others.
+            sets[2 * i + 1] = np.concatenate([passage, own[:83], rng.integers(0, 1 << 48, 17, dtype=np.uint64)])
+            links.append((2 * i, 2 * i + 1))
+    rows = [(7, k, len(v), bytearray(_packed(np.sort(v)))) for k, v in sets.items()]
+    df = llm.createDataFrame(rows, "super long, node long, n long, elements binary")
+    classes = defaultdict(set)
+    for r in rare_classes(df, Bound(80)).collect():
+        classes[r["super"]].add(r["node"])
+    assert sorted(map(sorted, classes.values())) == sorted(map(list, links))
+
+
+def test_quoted_passages_and_repeated_rows(make):
+    rng = random.Random(5)
+    passage = [f"p{rng.randrange(900)}" for _ in range(60)]
+    rows = []
+    for i in range(60):
+        own = [f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 200))]
+        rows.append((len(rows), " ".join(passage + own)))
+        if i % 3 == 0:
+            rows.append((len(rows), edited(rng, passage + own, rng.randrange(0, 4))))
+    want = brute(rows)
+    assert 5 < sum(i != root for i, _, root in want) < 21
+    for size in (300, 2_000_000):
+        assert got(make([(i, t, "en", "a") for i, t in rows]), block_size=size) == want
+    twice = sorted(want + 2 * want[:9])
+    assert got(make([(i, t, "en", "a") for i, t in rows + 2 * rows[:9]]), block_size=300) == twice
+
+
 def test_odd_rows(make):
     rows = [r for r in ODD if r[0] is not None and r[0] != 8] + [ODD[7]]
     assert got(make(rows)) == brute([r[:2] for r in rows])

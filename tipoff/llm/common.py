@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipoff.session import configure, staged
+from tipoff.session import configure, free_shuffles, staged
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,14 +66,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder, read it back, and let go of the shuffles behind it.
-
-    Spark removes shuffle files when the driver's garbage collector finds their jobs unused. In a
-    chain of large steps that would come too late, so it is asked for after each of them.
-    """
+    """Write ``df`` to the shared folder, read it back, and let go of the shuffles behind it."""
     out = staged(df, label)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    free_shuffles(df.sparkSession)
     return out
 
 

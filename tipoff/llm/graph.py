@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.llm.common import settle
+from tipoff.session import drop_staged, staged_tables
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -21,8 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
     Only nodes with a link to another node come back, the roots not among them. Each round sends
     the larger neighbours of a node to its smallest one, then the smaller neighbours too; rounds
     grow with the logarithm of the longest path. Edges never become more, and every round is
-    written to the shared folder. Nulls and links of a node to itself are left out.
+    written to the shared folder, in place of the one before. Nulls and links of a node to itself are left out.
     """
+    spark, before = edges.sparkSession, set(staged_tables(edges.sparkSession))
     current = settle(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
@@ -32,5 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last = [path for path in staged_tables(spark) if path not in before]
         current = settle(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        drop_staged(spark, last)
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))

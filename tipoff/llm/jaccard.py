@@ -35,6 +35,12 @@ class Bound:
     def linked(self, both, sizes):
         return 100 * both >= self.percent * (sizes - both)
 
+    def rare(self, n: Column) -> Column:
+        """How many of the first elements of a set of ``n``, in any order that all sets share, linked
+        sets cannot do without: if none of them is among the same many first ones of the other set,
+        too few are left to link."""
+        return n - F.floor((n * self.percent + 99) / 100) + 1
+
     @cached_property
     def smallest(self) -> int:
         """Sets below this size link only with equal ones."""
@@ -336,8 +342,44 @@ def _against_pivot(bound: Bound) -> Callable:
     return run
 
 
+def _element_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of each set as keys that hold within its class only."""
+    for batch in batches:
+        seeds = mix64(batch.column("super").to_numpy().view(np.uint64))
+        sets = [mix64(_unpacked(data.as_py()) + seed) for data, seed in zip(batch.column("elements"), seeds, strict=True)]
+        ends = np.cumsum([0, *map(len, sets)])
+        keys = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), lists], ["node", "n", "keys"])
+
+
+def rare_classes(sets: DataFrame, bound: Bound) -> DataFrame:
+    """(node, super): classes inside the given ones. Linked sets stay together; a set alone is left out.
+
+    ``sets`` has super, node, n and elements, each node once. Inside a class, elements are ordered from rare to
+    frequent. Two linked sets share one of their ``Bound.rare`` first elements, so sets that share
+    none are parted: a passage that many texts quote brings none of them together, as each has
+    rarer elements of its own. Elements of one set alone count for the order, but are not joined.
+    """
+    listed = sets.select("super", "node", "n", "elements").mapInArrow(_element_keys, "node long, n long, keys array<long>")
+    held = listed.select("node", "n", F.explode("keys").alias("key"))
+    often = held.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = held.join(often.hint("merge"), "key")
+    # The shared elements of one set, of which there is one row: no more than it has.
+    ordered = shared.groupBy("node").agg(
+        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("held", "key"))).alias("keys")
+    )
+    room = F.greatest(F.lit(0), bound.rare(F.col("n")) - (F.col("n") - F.size("keys"))).cast("int")
+    first = settle(ordered.select("node", F.explode(F.slice("keys", F.lit(1), room)).alias("at")).select("node", "at.key"), "rare")
+    least = first.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = first.join(least.hint("merge"), "key").where("node <> first")
+    parted = components(edges.select(F.col("node").alias("u"), F.col("first").alias("v")))
+    return parted.select("node", F.col("root").alias("super")).unionByName(
+        parted.select(F.col("root").alias("node"), F.col("root").alias("super")).distinct()
+    )
+
+
 MEMBER = "super long, node long, blocks int, pivot long, elements binary"
-PLACES = "array<struct<super: long, blocks: int, pivot: long>>"
 
 
 def verified_links(members: DataFrame, bound: Bound) -> DataFrame:
@@ -364,6 +406,11 @@ def verified_links(members: DataFrame, bound: Bound) -> DataFrame:
     return found.unionByName(judged.where("core AND node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")))
 
 
+def _larger(sets: DataFrame, block_size: int) -> DataFrame:
+    """The classes (super) whose sets have more than ``block_size`` elements together."""
+    return sets.groupBy("super").agg(F.sum("n").alias("all")).where(F.col("all") > block_size).select("super")
+
+
 def near_groups(
     docs: DataFrame, *, width: int = 5, percent: int = 80, block_size: int = 2_000_000
 ) -> DataFrame:
@@ -372,7 +419,8 @@ def near_groups(
     Two documents link when their sets have at least ``percent`` of their union in common. Words are
     lower-cased for A-Z and parted at ASCII white space; a document's set is its distinct runs of
     ``width`` words, or its whole sequence if it has fewer. Documents with equal sets are one node. Nodes that agree in a zone of
-    their sets become one candidate class, which holds every true component whole; in a class, a
+    their sets become one candidate class, which holds every true component whole; a large class is
+    parted by the rare elements of its sets. In a class, a
     tree over counts of 64 shingle groups bounds the overlap by summed minima, and what is left is
     compared element by element. Only links that join components are kept.
 
@@ -408,21 +456,27 @@ def near_groups(
     )
 
     nodes = base.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("ref").alias("ref"), F.max("n_shingles").alias("n"))
-    wanted = settle(nodes.join(classes, "node").select("ref", "node", "super", "n"), "wanted")
-    # A class of more than ``block_size`` elements is parted by size first, into classes of their
-    # own; one that is still larger is cut into blocks.
-    large = wanted.groupBy("super").agg(F.sum("n").alias("all")).where(F.col("all") > block_size).select("super", F.lit(True).alias("large"))
+    wanted = nodes.join(classes, "node").select("ref", "node", "super", "n")
+    # One plan at every size: texts are joined by a shuffle, however few documents are wanted.
+    # Rows that repeat an id and text lie side by side after it; one of them is kept.
+    texts = known.select("ref", "text").join(wanted.hint("merge"), "ref").dropDuplicates(["ref"]).select("node", "super", "n", "text")
+    sets = settle(texts.mapInArrow(_sets(width), "node long, super long, n long, elements binary"), "sets")
+
+    # A class of more than ``block_size`` elements is parted by the rare elements of its sets, and
+    # one that stays as large by size; what is still larger is cut into blocks.
+    kept = sets.select("node", "super", "n")
+    large = _larger(kept, block_size)
+    finer = rare_classes(sets.join(large, "super"), bound)
+    kept = kept.join(large, "super", "left_anti").unionByName(kept.drop("super").join(finer, "node").select("node", "super", "n"))
+    kept = settle(kept, "kept")
     cells = F.transform(bound.cells(F.col("n")), lambda cell: F.xxhash64("super", cell))
-    parts = wanted.join(large, "super", "left").withColumn(
+    parts = kept.join(_larger(kept, block_size).withColumn("large", F.lit(True)), "super", "left").withColumn(
         "super", F.explode(F.when(F.col("large"), cells).otherwise(F.array("super")))
     )
     blocks = F.ceil(F.sum("n") / block_size).cast("int").alias("blocks")
     sizes = parts.groupBy("super").agg(blocks, F.min("node").alias("pivot"))
-    places = parts.join(sizes, "super").groupBy("ref", "node").agg(F.collect_list(F.struct("super", "blocks", "pivot")).alias("places"))
-    # One plan at every size: texts are joined by a shuffle, however few documents are wanted.
-    texts = known.select("ref", "text").join(places.hint("merge"), "ref").select("node", "places", "text")
-    members = settle(texts.mapInArrow(_sets(width), f"node long, places {PLACES}, elements binary"), "members")
-    members = members.withColumn("place", F.explode("places")).select("place.super", "node", "place.blocks", "place.pivot", "elements")
+    places = parts.join(sizes, "super").select("super", "node", "blocks", "pivot")
+    members = sets.select("node", "elements").join(places.hint("merge"), "node").select("super", "node", "blocks", "pivot", "elements")
 
     roots = components(verified_links(members, bound))
     labelled = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))

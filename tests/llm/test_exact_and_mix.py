@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from tests.llm.conftest import LONG, ODD, WORD
 
-from tipoff.llm.exact import exact_groups
+from tipoff.llm.exact import exact_groups, merge_level, merge_sorted
 from tipoff.llm.mixing import mix
 
 
@@ -37,6 +37,31 @@ def test_groups_of_nothing(make):
     assert exact_groups(make([])).count() == 0
 
 
+def entries(llm, rows):
+    schema = "run long, digest long, text_sha256 string, n_bytes int, keep_id long, group_size long"
+    return llm.createDataFrame(rows, schema)
+
+
+def test_rounds_merge_sorted_runs(llm):
+    """Each round sorts and merges, and nothing is grouped in a hash table."""
+    rows = [(r, d, "s", 3, 10 * r + d, 1) for r in range(64) for d in range(5)]
+    level = merge_sorted(entries(llm, rows))
+    for _ in range(2):
+        level = merge_level(level, 3)
+    got = sorted((r["run"], r["digest"], r["keep_id"], r["group_size"]) for r in level.collect())
+    assert got == [(0, d, 630 + d, 64) for d in range(5)]
+    plan = level._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "HashAggregate" not in plan and "Python" not in plan and "Arrow" not in plan
+    assert plan.count("SortAggregate") >= 3
+    assert plan.count("Sort [run#") >= 3
+
+
+def test_equal_digests_of_other_texts_stay_apart(llm):
+    rows = [(0, 7, "s", 3, 1, 1), (1, 7, "t", 3, 2, 1), (2, 7, "s", 4, 3, 1), (3, 7, "s", 3, None, 1), (4, 7, "u", 1, None, 1)]
+    got = {(r["text_sha256"], r["n_bytes"], r["keep_id"], r["group_size"]) for r in merge_level(entries(llm, rows), 3).collect()}
+    assert got == {("s", 3, 1, 2), ("t", 3, 2, 1), ("s", 4, 3, 1), ("u", 1, None, 1)}
+
+
 def size(text):
     return len(WORD.findall(text or ""))
 

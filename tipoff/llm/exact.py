@@ -11,15 +11,26 @@ from tipoff.session import staged
 KEY = ["digest", "text_sha256", "n_bytes"]
 
 
+def merge_sorted(entries: DataFrame) -> DataFrame:
+    """Neighbours in the order (run, digest, SHA-256, length) become one entry with the largest id.
+
+    The largest id is taken as a struct, which Spark cannot update in a hash table: it sorts the
+    entries and merges them in one walk over the sorted rows. The result does not depend on that.
+    """
+    largest = F.max(F.struct("keep_id")).alias("largest")
+    merged = entries.groupBy("run", *KEY).agg(largest, F.sum("group_size").alias("group_size"))
+    return merged.select("run", *KEY, F.col("largest.keep_id").alias("keep_id"), "group_size")
+
+
 def merge_level(level: DataFrame, drop_bits: int) -> DataFrame:
     """One round: run r goes to run r >> drop_bits, equal entries of the runs that meet become one.
 
-    A 64-bit digest orders the runs. Entries with one digest are the same text only if their
-    SHA-256 and their byte length agree as well, and this is verified at every level.
+    The runs that meet are dealt by digest and merged in order. Entries with one digest are the
+    same text only if their SHA-256 and their byte length agree as well, and this is verified at
+    every level. An entry is in a run once, so no more than 2**drop_bits of them meet.
     """
     moved = level.withColumn("run", F.shiftright("run", drop_bits))
-    merged = moved.groupBy("run", *KEY).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return merged.sortWithinPartitions("run", *KEY)
+    return merge_sorted(moved.repartition("run", "digest"))
 
 
 def exact_groups(
@@ -49,8 +60,9 @@ def exact_groups(
         ),
         "digests",
     )
-    first = rows.groupBy("run", *KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    level, left = first.sortWithinPartitions("run", *KEY), runs
+    single = F.lit(1).cast("long").alias("group_size")
+    first = merge_sorted(rows.select("run", *KEY, F.col("doc_id").alias("keep_id"), single))
+    level, left = first, runs
     while left > 1:
         level = merge_level(level, fan_in_bits)
         left >>= fan_in_bits

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from tests.llm.conftest import ODD
@@ -54,6 +54,17 @@ def test_batches_can_be_taken_back(make, llm):
     assert few.drops().count() == 0
 
 
+def test_a_batch_tried_again_changes_nothing(make, llm):
+    rows = framed(4) + [(None, f"{FRAME}\nno id", "en", "a")]
+    once = LineIndex.empty(llm, shards=4).insert(make(rows))
+    again = once.insert(make(rows)).insert(make(rows[:2]))
+    for name in ("refs", "holders"):
+        assert Counter(map(tuple, getattr(again, name).collect())) == Counter(map(tuple, getattr(once, name).collect()))
+    assert digests(make, again, rows) == brute([r[:2] for r in rows])
+    more = again.insert(make([(900, FRAME, "en", "a"), *rows[:1]]))
+    assert more.refs.agg({"n_docs": "max"}).first()[0] == 6
+
+
 def test_text_and_other_columns_stay(make, llm):
     rows = ODD + framed(6)
     docs = make(rows)

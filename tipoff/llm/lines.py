@@ -248,8 +248,17 @@ class LineIndex:
         dealt = rows.repartition("shard").sortWithinPartitions("shard", "kind")
         return staged(dealt.mapInArrow(_build, "shard int, cells binary"), "line-filters")
 
+    def _news(self, found: DataFrame) -> DataFrame:
+        """The rows of ``found`` that ``holders`` lacks; a null id is an id."""
+        held = self.holders.select(F.col("doc_id").alias("held_id"), F.col("k1").alias("held_1"), F.col("k2").alias("held_2"))
+        same = (found["k1"] == held["held_1"]) & (found["k2"] == held["held_2"]) & found["doc_id"].eqNullSafe(held["held_id"])
+        return found.join(held, same, "left_anti")
+
     def insert(self, docs: DataFrame) -> LineIndex:
-        new = staged(self.keys_of(docs), "line-holders")
+        """Add documents. What a document is known to hold already counts once, so that a batch that
+        is tried again changes nothing; rows that share an id within one batch count each.
+        """
+        new = staged(self._news(self.keys_of(docs)), "line-holders")
         both = self.refs.unionByName(self._counted(new)).groupBy("k1", "k2")
         refs = staged(both.agg(F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc")), "line-refs")
         return replace(self, holders=self.holders.unionByName(new), refs=refs, filters=self._refilter(refs))

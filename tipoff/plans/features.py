@@ -206,6 +206,5 @@ def pace_features(
 
 def complete_cases(df: DataFrame, target: str = "q1_avg_pace") -> DataFrame:
     """Rows with all rolled inputs and the target, restricted to inputs, target and order."""
-    needed = [*names.rolling_columns(df.columns), target]
-    keep = [c for c in names.pace_inputs(df.columns) if c != target]
-    return df.dropna(subset=needed).select("match_id", "scheduled_at", target, *keep)
+    inputs = names.pace_inputs(df.columns)
+    return df.dropna(subset=[*inputs, target]).select("match_id", "scheduled_at", target, *inputs)

@@ -360,7 +360,7 @@ def complete_cases(d):
 )
 def column_helpers(d):
     table = pace_table(d)
-    inputs = columns.rolling_columns(table.columns)
+    inputs = columns.pace_inputs(table.columns)
     targets = [t for t in columns.target_columns()["game"] if t in table.columns and t != "game_total"]
     counts = table.agg(*[F.count(c).alias(c) for c in (*inputs, *targets)])
     named = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n_known")) for c in (*inputs, *targets)]))

@@ -18,7 +18,8 @@ SEASON_FIRST_MONTH = 7
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+    # a cast that fails costs an exception, so text without a match is made NULL before
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -113,9 +114,13 @@ def shot_attempts(text: Column) -> Column:
 def shot_strict(text: Column) -> tuple[Column, Column]:
     """(made, attempted), both NULL unless 0 <= made <= attempted."""
     bare = F.replace(F.substring_index(F.trim(text), "(", 1), F.lit(" "), F.lit(""))
-    made, tried = _part(bare, STRICT_SHOT, 1), _part(bare, STRICT_SHOT, 2)
-    good = (made >= 0) & (tried >= 0) & (made <= tried)
-    return F.when(good, made), F.when(good, tried)
+    # arguments of a lambda are evaluated once, where columns would be parsed again in every place
+    read = F.transform(
+        F.array(bare),
+        lambda b: F.struct(_part(b, STRICT_SHOT, 1).alias("made"), _part(b, STRICT_SHOT, 2).alias("tried")),
+    )
+    good = F.get(F.filter(read, lambda p: (p["made"] >= 0) & (p["tried"] >= 0) & (p["made"] <= p["tried"])), F.lit(0))
+    return good["made"], good["tried"]
 
 
 def status_of(text: Column, mapping: dict[str, str], default: str = "FINISHED") -> Column:

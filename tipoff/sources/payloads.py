@@ -124,6 +124,16 @@ def _shooting(items: Column) -> dict[str, Column]:
     return out
 
 
+def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns that are evaluated once for each row.
+
+    They come out of a generator, so a filter on them is not pushed below, where it would evaluate
+    the expressions of all the columns it reads a second time and more.
+    """
+    row = F.array(F.struct(*[expr.alias(name) for name, expr in columns.items()]))
+    return df.select(*df.columns, F.explode_outer(row).alias("_r")).select(*df.columns, "_r.*")
+
+
 def period_rows(payloads: DataFrame, key: str = "event_id") -> DataFrame:
     """Period rows of each contest; the full-game block only where no period parsed.
 
@@ -144,14 +154,15 @@ def period_rows(payloads: DataFrame, key: str = "event_id") -> DataFrame:
     rows = rows.withColumn("_items", metric_items(F.col("_b")))
     label = F.col("_b.period")
     score_name = F.coalesce(score_key(label), F.lit("current"))
-    rows = rows.withColumns(
+    rows = _computed(
+        rows,
         {
             "period_number": F.coalesce(period_number(label), F.lit(1)),
             "period_type": F.coalesce(period_type(label), F.lit("GAME")),
             "home_score": F.try_element_at(F.col("_hs"), score_name),
             "away_score": F.try_element_at(F.col("_as"), score_name),
             **_shooting(F.col("_items")),
-        }
+        },
     )
     rows = rows.withColumns(
         {
@@ -264,12 +275,12 @@ def match_statistics(payloads: DataFrame) -> DataFrame:
             else:
                 out[f"{side}_{short}"] = parse.count_of(text)
                 checks.append((f"{side}_{short}", f"{side}: {name}"))
-    rows = rows.withColumns(out)
+    rows = _computed(rows.drop("statistics"), {**out, "_whole": F.col("_b").isNotNull()})
     reason = F.coalesce(
-        F.when(F.col("_b").isNull(), F.lit("no full-game block")),
+        F.when(~F.col("_whole"), F.lit("no full-game block")),
         *[F.when(F.col(c).isNull(), F.lit(why)) for c, why in checks],
     )
-    return rows.withColumn("reject_reason", reason).drop("_b", "_items", "statistics")
+    return rows.withColumn("reject_reason", reason).drop("_b", "_items", "_whole")
 
 
 def advanced_rows(box: DataFrame) -> DataFrame:

@@ -293,6 +293,9 @@ def epoch_seconds(d):
 
 # -- box-score payloads ------------------------------------------------------------------------
 
+#: Landed files are text that says the same words in every line.
+LANDED = "gzip"
+
 
 def statistics(d):
     rows = views.statistics(d.lines)
@@ -325,9 +328,10 @@ def nested_payload(d):
     path = fresh_path(d.spark, "landing")
     views.statistics(d.lines).select("match_id", F.from_json("payload", "statistics variant").alias("p")).select(
         "match_id", F.to_json("p").alias("payload")
-    ).write.json(path)
+    ).write.option("compression", LANDED).json(path)
     rows = payloads.read_json(d.spark, path, "match_id bigint, payload string")
-    blocks = payloads.parse_statistics(F.col("payload"))
+    rows = rows.select("match_id", payloads.parse_statistics(F.col("payload")).alias("statistics"))
+    blocks = F.col("statistics")
     items = F.aggregate(
         blocks,
         F.lit(0),
@@ -568,17 +572,18 @@ def box_score_ratings(d):
 @query("ss1_stream_enrichment", ADVANCED_SQL)
 def stream_enrichment(d):
     landing, root = fresh_path(d.spark, "stream-landing"), fresh_path(d.spark, "stream-table")
-    # Newer answers land first; an older one of every third contest comes in a later file.
+    # Newer answers land first; an older one of every third contest comes in a later file. Each
+    # landing is one batch, of as many files as there were tasks to write it.
     newer = views.statistics(d.lines).withColumn("seq", F.lit(2).cast("bigint"))
     older = newer.where("match_id % 3 = 0").withColumn("seq", F.lit(1).cast("bigint"))
-    newer.repartition(2).write.json(f"{landing}/a")
+    newer.write.option("compression", LANDED).json(f"{landing}/a")
     matches = d.contests
     state = fresh_path(d.spark, "stream-state")
-    enrichment.run_available(d.spark, f"{landing}/*", matches, root, state, files_per_batch=2)
+    enrichment.run_available(d.spark, f"{landing}/*", matches, root, state)
     # the older answer has other numbers
     changed = older.withColumn("payload", F.translate("payload", "13579", "24680"))
-    changed.repartition(2).write.json(f"{landing}/b")
-    enrichment.run_available(d.spark, f"{landing}/*", matches, root, state, files_per_batch=2)
+    changed.write.option("compression", LANDED).json(f"{landing}/b")
+    enrichment.run_available(d.spark, f"{landing}/*", matches, root, state)
     return _advanced_columns(enrichment.stored(d.spark, root))
 
 
@@ -603,7 +608,7 @@ def run_counts(d):
     rows = views.statistics(d.lines).withColumn("seq", F.lit(1).cast("bigint"))
     whole = rows.select(F.to_json(F.struct("match_id", "seq", "payload")).alias("value"))
     broken = rows.where("match_id % 50 = 7").select(F.concat(F.lit('{"match_id": '), "match_id", F.lit(', "seq": 1, "payload": "{')).alias("value"))
-    whole.unionByName(broken).repartition(2).write.text(landing)
+    whole.unionByName(broken).write.option("compression", LANDED).text(landing)
     enrichment.run_available(d.spark, landing, d.contests, root, state, rejects=rejects)
     counts = enrichment.run_counts(d.spark, root, rejects)
     return d.spark.createDataFrame(sorted(counts.items()), "outcome string, n long")
@@ -625,7 +630,7 @@ def malformed_lines(d):
     rows = views.statistics(d.lines)
     whole = rows.select(F.to_json(F.struct("match_id", "payload")).alias("value"))
     broken = rows.where("match_id % 50 = 7").select(F.concat(F.lit('{"match_id": "'), "match_id", F.lit('x", ')).alias("value"))
-    whole.unionByName(broken).write.text(path)
+    whole.unionByName(broken).write.option("compression", LANDED).text(path)
     read = payloads.read_json(d.spark, path, "match_id bigint, payload string", "malformed")
     good, bad = payloads.split_malformed(read, "malformed")
     n_good, n_bad = good.agg(F.count("match_id").alias("n_whole")), bad.agg(F.count("malformed").alias("n_broken"))

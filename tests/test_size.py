@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from hashlib import md5
 
 import numpy as np
@@ -9,7 +10,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tipoff.config import PACE_TREES
 from tipoff.operators import settle, splits
+from tipoff.plans import backtest, features
 from tipoff.sources import payloads
 
 
@@ -66,3 +69,48 @@ def test_indexed_bootstrap_in_pieces(spark, monkeypatch):
     low, high = np.percentile(means, [2.5, 97.5])
     assert (got["a"]["roi_ci_low"], got["a"]["roi_ci_high"]) == pytest.approx((100 * low, 100 * high))
     assert got["b"]["roi_ci_low"] is None
+
+
+def games(spark, n=60):
+    """Contests of two leagues, of ten teams."""
+    when = F.timestamp_seconds(F.col("id") * 90_000)
+    rows = spark.range(n).select(F.col("id").alias("match_id"), when.alias("scheduled_at"), (F.col("id") % 10).alias("home_team_id"), ((F.col("id") + 3) % 10).alias("away_team_id"))
+    return rows.withColumns(
+        {
+            "home_score_final": (70 + F.col("match_id") % 11).cast("int"),
+            "away_score_final": (65 + F.col("match_id") % 13).cast("int"),
+            "league": F.when(F.col("match_id") % 2 == 0, "a").otherwise("b"),
+        }
+    )
+
+
+def counted(spark, df, column):
+    """``df``, and a counter of the times that values of ``column`` are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(look, df.schema[column].dataType)(column)), seen
+
+
+def quarters(rows):
+    out = rows.select("match_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("period_number"))
+    box = ("score", "fga", "fta", "off_reb", "turnovers", "possessions", "pace")
+    values = {f"{s}_{c}": (20 + F.col("match_id") % 5 + F.col("period_number")).cast("double") for s in ("home", "away") for c in box}
+    return out.withColumns({"period_type": F.lit("QUARTER"), **values})
+
+
+def test_pace_contests_are_computed_once(spark):
+    rows, seen = counted(spark, games(spark).withColumnRenamed("league", "tournament_name"), "home_score_final")
+    assert features.pace_features(rows, quarters(rows)).count() == 60
+    assert seen.value == 60
+
+
+def test_rows_of_the_pace_model_are_computed_once(spark):
+    rows = games(spark).select("match_id", "scheduled_at", (F.col("match_id") % 7).cast("double").alias("x"), (F.col("match_id") % 7 + 90.0).alias("q1_avg_pace"))
+    complete, seen = counted(spark, rows, "x")
+    _, _, split, _ = backtest.pace_model(complete, trees=replace(PACE_TREES, iterations=2, depth=2, patience=1))
+    assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 48, "test": 12}
+    assert seen.value == 60

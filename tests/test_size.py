@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from hashlib import md5
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from tipoff.config import PACE_TREES
 from tipoff.operators import settle, splits
 from tipoff.plans import backtest, features
+from tipoff.queries import features as feature_queries
+from tipoff.session import staged, staged_tables
 from tipoff.sources import payloads
 
 
@@ -114,3 +117,21 @@ def test_rows_of_the_pace_model_are_computed_once(spark):
     _, _, split, _ = backtest.pace_model(complete, trees=replace(PACE_TREES, iterations=2, depth=2, patience=1))
     assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 48, "test": 12}
     assert seen.value == 60
+
+
+class _Given:
+    """Tables of a folder that no other test reads."""
+
+    def __init__(self, spark, table):
+        self.spark, self.sf_dir, self.table = spark, uuid.uuid4().hex, table
+
+
+def test_features_read_once_are_not_stored(spark, monkeypatch):
+    table = games(spark).withColumns({"home_days_rest": F.when(F.col("match_id") % 4 > 0, 1), "home_pts_scored_game_L5": F.lit(80.0)})
+    table = table.withColumn("league", F.when(F.col("league") == "a", "1-URGENT").otherwise("5-LOW"))
+    given = _Given(spark, table)
+    monkeypatch.setattr(feature_queries, "score_table", lambda d: d.table)
+    before = set(staged_tables(spark))
+    got = {(r["league"], r["feature"]): r["n_known"] for r in feature_queries.group_columns(given).collect()}
+    assert got[("1-URGENT", "home_days_rest")] == 15 and got[("5-LOW", "home_days_rest")] == 30
+    assert got[("5-LOW", "home_pts_scored_game_L5")] == 30 and set(staged_tables(spark)) == before

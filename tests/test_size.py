@@ -135,3 +135,15 @@ def test_features_read_once_are_not_stored(spark, monkeypatch):
     got = {(r["league"], r["feature"]): r["n_known"] for r in feature_queries.group_columns(given).collect()}
     assert got[("1-URGENT", "home_days_rest")] == 15 and got[("5-LOW", "home_days_rest")] == 30
     assert got[("5-LOW", "home_pts_scored_game_L5")] == 30 and set(staged_tables(spark)) == before
+
+
+def test_kept_features_lie_by_league_and_leave_nothing_else(spark, monkeypatch):
+    given = _Given(spark, games(spark))
+    monkeypatch.setattr(feature_queries, "score_table", lambda d: staged(d.table, "on-the-way"))
+    before = set(staged_tables(spark))
+    kept = feature_queries.kept_score_table(given)
+    assert [path.rsplit("/", 1)[1].split("-")[0] for path in set(staged_tables(spark)) - before] == ["features"]
+    for file in kept.inputFiles():
+        leagues = [r["league"] for r in spark.read.parquet(file).collect()]
+        assert leagues == sorted(leagues)
+    assert kept.count() == 60 and feature_queries.read_once(given) is kept

@@ -114,6 +114,24 @@ def test_rare_elements_part_texts_that_quote_one_passage(make, llm):
     assert sorted(map(sorted, classes.values())) == sorted(map(list, links))
 
 
+def test_only_elements_that_can_come_first_are_shuffled():
+    from tipoff.llm.jaccard import _element_keys, _packed
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for percent in (70, 80, 90):
+        bound, sizes = Bound(percent), [1, 2, 3, 7, 40, 900, 3000]
+        sets = [np.sort(rng.integers(0, 1 << 48, n, dtype=np.uint64)) for n in sizes]
+        columns = [pa.array([7] * len(sets)), pa.array(range(len(sets))), pa.array([_packed(s) for s in sets], pa.binary())]
+        batch = pa.RecordBatch.from_arrays(columns, ["super", "node", "elements"])
+        out = next(iter(_element_keys(bound)(iter([batch]))))
+        for n, own, keys in zip(sizes, out.column("own").to_pylist(), out.column("keys").to_pylist(), strict=True):
+            counted = bound.rare(n) - own
+            assert len(keys) == max(counted, bound.rare(n)) and len(set(keys)) == len(keys)
+            assert n < 900 or bound.rare(n) < len(keys) < 1.1 * bound.counted * n
+
+
 def test_quoted_passages_and_repeated_rows(make):
     rng = random.Random(5)
     passage = [f"p{rng.randrange(900)}" for _ in range(60)]

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from tipoff.session import drop_staged, staged, staged_tables
+from tipoff.session import drop_staged, staged, staged_in_slices, staged_tables
 
 
 def test_only_named_tables_go(spark, tmp_path):
@@ -14,3 +14,12 @@ def test_only_named_tables_go(spark, tmp_path):
     assert path not in staged_tables(spark) and len(staged_tables(spark)) == before - 1
     assert drop_staged(spark, [path]) == 0
     assert kept.count() == 5 and spark.read.parquet(outside).count() == 3
+
+
+def test_slices_make_the_whole_table(spark):
+    rows = [(None if i % 10 == 0 else i // 2, i) for i in range(200)]
+    before = set(staged_tables(spark))
+    out = staged_in_slices(spark.createDataFrame(rows, "key long, n long"), "sliced", "key")
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == rows
+    assert len(out.inputFiles()) >= 4 and len(set(staged_tables(spark)) - before) == 1
+    assert drop_staged(spark, set(staged_tables(spark)) - before) == 1

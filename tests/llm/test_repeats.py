@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
+import pytest
 from tests.llm.conftest import ODD
 
-from tipoff.llm.repeats import GRAM, Depth, cut_repeats, merged
+from tipoff.llm.repeats import GRAM, WORD_GRAM, Depth, cut_repeats, merged, op7
 
 
 def brute(rows, length):
@@ -86,3 +88,62 @@ def test_merged():
     import numpy as np
 
     assert merged(np.array([5, 0, 2]), np.array([9, 2, 4])) == [(0, 4), (5, 9)]
+
+
+def brute_words(rows, length):
+    """Like brute, over words: how many of each text lie in windows found at two places."""
+    texts = [(i, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for i, t in rows]
+    seen = Counter(tuple(w[k : k + length]) for _, w in texts for k in range(len(w) - length + 1))
+    out = []
+    for doc_id, w in texts:
+        gone = bytearray(len(w))
+        for k in range(len(w) - length + 1):
+            if seen[tuple(w[k : k + length])] > 1:
+                gone[k : k + length] = b"\1" * length
+        out.append((doc_id, sum(gone)))
+    return sorted(out, key=str)
+
+
+def got_words(df, length):
+    return sorted(((r["doc_id"], r["n_repeated_words"]) for r in cut_repeats(df, words=length).collect()), key=str)
+
+
+def test_words_of_odd_rows(make):
+    for length in (WORD_GRAM + 1, 51):
+        assert got_words(make(), length) == brute_words([r[:2] for r in ODD], length)
+
+
+def test_words_of_documents(make, documents):
+    rows = [(i, t, "en", "a") for i, t in documents[1]]
+    for length in (7, 51):
+        assert got_words(make(rows), length) == brute_words(documents[1], length)
+
+
+def test_words_leave_the_other_columns(make, documents):
+    rows = [(i, t, "en", "a") for i, t in documents[1][:40]]
+    with_words = cut_repeats(make(rows), 61, "digest", words=9).drop("n_repeated_words")
+    assert sorted((tuple(r) for r in with_words.collect()), key=str) == brute(documents[1][:40], 61)
+
+
+def test_passages_under_400_bytes_are_told(llm, tmp_path):
+    """Passages of over 50 words and under 400 bytes: no byte goes by contract, the query tells them all the same."""
+    rng = random.Random(5)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+
+    rows = []
+    for i in range(30):
+        passage = prose(rng.randrange(51, 60))
+        assert len(passage) < 400 - 2 * 8
+        rows += [(3 * i, f"{prose(80)} {passage} {prose(60)}"), (3 * i + 1, f"{prose(9)}\n{passage}\n{prose(200)}"), (3 * i + 2, prose(250))]
+    llm.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in op7(llm, str(tmp_path)).collect()}
+    assert len(found) == 90 and all(r["n_removed"] == 0 for r in found.values())
+    assert {i for i, r in found.items() if r["n_repeated_words"] > 50} == {i for i in range(90) if i % 3 != 2}
+    assert all(found[i]["n_repeated_words"] == 0 for i in range(2, 90, 3))
+
+
+def test_words_out_of_range(make):
+    with pytest.raises(ValueError, match="words"):
+        cut_repeats(make(), words=WORD_GRAM)

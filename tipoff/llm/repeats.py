@@ -1,4 +1,4 @@
-"""Repeated passages: a depth-limited radix sort of the windows of a corpus."""
+"""Repeated passages: a depth-limited radix sort of the windows of a corpus, in bytes or in words."""
 
 from __future__ import annotations
 
@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipoff.llm.common import query, settle, table, whole
-from tipoff.llm.textbytes import SpanHash, mix64, raw, slices
+from tipoff.llm.textbytes import SpanHash, Words, mix64, raw, slices
+from tipoff.session import drop_staged, staged_tables
 
-GRAM = 16
+#: Bytes and words of an anchor.
+GRAM, WORD_GRAM = 16, 3
 #: A node packs its anchor's place and its range of offsets in one number.
 BITS = 12
 SLICE = 1 << 20
@@ -22,17 +24,22 @@ SLICE = 1 << 20
 
 @dataclass(frozen=True)
 class Depth:
-    """Sizes of the passes for windows of ``length`` bytes: blocks of offsets, coarse to single ones.
+    """Sizes of the passes for windows of ``length`` bytes or words: blocks of offsets, coarse to single ones.
 
     A size is a multiple of the next one. Otherwise a fine block would lie in two coarse ones, and
     the two halves of it that one anchor has would count as two places.
     """
 
     length: int
+    words: bool = False
+
+    @property
+    def gram(self) -> int:
+        return WORD_GRAM if self.words else GRAM
 
     @property
     def offsets(self) -> int:
-        return self.length - GRAM + 1
+        return self.length - self.gram + 1
 
     @property
     def blocks(self) -> list[int]:
@@ -53,18 +60,29 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[: n - width + 1], head[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, hasher: SpanHash, depth: Depth):
+def load(texts: pa.Array, hasher: SpanHash, depth: Depth) -> np.ndarray:
+    """Give ``hasher`` the bytes or words of some texts; offsets of the texts among them."""
+    data, offsets = raw(texts)
+    hasher.load(data)
+    if not depth.words:
+        return offsets
+    words = Words(data, offsets)
+    hasher.load_numbers(hasher.spans(words.starts, words.ends))
+    return words.range
+
+
+def anchors(offsets: np.ndarray, hasher: SpanHash, depth: Depth):
     """(text, anchor, least offset, largest offset) of all windows of some texts.
 
     The anchor of a window is its gram with the smallest hash, the leftmost among equals: equal
     windows have it at the same offset. The windows of one anchor start at consecutive places.
     """
     empty = np.zeros(0, np.int64)
-    n = len(data)
+    n = int(offsets[-1])
     if n < depth.length:
         return empty, empty, empty, empty
-    place = np.arange(n - GRAM + 1)
-    mark = (hasher.spans(place, place + GRAM) & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
+    place = np.arange(n - depth.gram + 1)
+    mark = (hasher.spans(place, place + depth.gram) & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
     least = sliding_least(mark, depth.offsets)
     step = np.zeros(n + 1, np.int32)
     long = np.diff(offsets) >= depth.length
@@ -89,7 +107,7 @@ def split_blocks(text, anchor, low, high, size: int):
     return text[row], anchor[row], np.maximum(low[row], block * size), np.minimum(high[row], (block + 1) * size - 1)
 
 
-def _rows(data, offsets, hasher, refs, text, anchor, low, high, size, depth) -> pa.RecordBatch:
+def _rows(offsets, hasher, refs, text, anchor, low, high, size, depth) -> pa.RecordBatch:
     """Digits of nodes: hashes of what all windows of a block share, and of all that they span.
 
     Nodes of one piece that agree in both are repeated for certain: only one of them, standing for
@@ -122,10 +140,10 @@ def _first_pass(depth: Depth) -> Callable:
         hasher = SpanHash(7)
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
-                data, offsets = raw(piece.column("text"))
+                offsets = load(piece.column("text"), hasher, depth)
                 refs = piece.column("ref").to_numpy()
-                found = anchors(data, offsets, hasher.load(data), depth)
-                yield _rows(data, offsets, hasher, refs, *found, depth.blocks[0], depth)
+                found = anchors(offsets, hasher, depth)
+                yield _rows(offsets, hasher, refs, *found, depth.blocks[0], depth)
 
     return run
 
@@ -135,14 +153,14 @@ def _next_pass(depth: Depth, size: int) -> Callable:
         hasher = SpanHash(7)
         for batch in batches:
             for piece in slices(batch, "text", SLICE):
-                data, offsets = raw(piece.column("text"))
+                offsets = load(piece.column("text"), hasher, depth)
                 nodes = piece.column("nodes")
                 text = np.repeat(np.arange(len(nodes)), nodes.value_lengths().to_numpy())
                 node = nodes.flatten().to_numpy()
                 low, high = (node >> BITS) & ((1 << BITS) - 1), node & ((1 << BITS) - 1)
                 anchor = (node >> (2 * BITS)) + offsets[text]
                 refs = piece.column("ref").to_numpy()
-                yield _rows(data, offsets, hasher.load(data), refs, text, anchor, low, high, size, depth)
+                yield _rows(offsets, hasher, refs, text, anchor, low, high, size, depth)
 
     return run
 
@@ -177,15 +195,16 @@ def radix_pass(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
 
 
 def spans_of(nodes: DataFrame, length: int) -> DataFrame:
-    """(ref, a, b): the bytes that the windows of each node cover."""
+    """(ref, a, b): the bytes or words that the windows of each node cover."""
     mask = (1 << BITS) - 1
     anchor, low, high = F.shiftright("node", 2 * BITS), F.shiftright("node", BITS).bitwiseAND(mask), F.col("node").bitwiseAND(mask)
     return nodes.select("ref", (anchor - high).alias("a"), (anchor - low + length).alias("b"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, words: bool = False) -> DataFrame:
     """(ref, a, b) byte spans of ``docs`` (ref, text) whose union is all bytes in repeated windows.
 
+    With ``words``, windows are ``length`` words and spans count words from the start of the text.
     Windows are ordered only through ``length`` bytes, by most significant digit first, where a
     window's digits are read outwards from its anchor. All windows of one anchor share bytes, so
     they pass as one node for each block of offsets instead of one by one: pass 1 compares what a
@@ -193,7 +212,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     shared bytes are found once is done, and so is one whose whole span is found twice, so that
     only the ends of repeated passages reach pass 3. Equal groups there are the repeated windows.
     """
-    depth = Depth(length)
+    depth = Depth(length, words)
     rows = settle(docs.select("ref", "text").mapInArrow(_first_pass(depth), ROWS), "radix-1")
     done, rest = radix_pass(rows, last=depth.blocks[0] == 1)
     found = spans_of(done, length)
@@ -206,6 +225,15 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return found
 
 
+def span_lists(docs: DataFrame, length: int, words: bool, name: str) -> DataFrame:
+    """(ref, ``name``): the spans of each text as a list, stored; the passes behind them are removed."""
+    before = staged_tables(docs.sparkSession)
+    found = repeated_spans(docs, length, words).groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias(name))
+    found = settle(found, "radix-spans")
+    drop_staged(docs.sparkSession, staged_tables(docs.sparkSession)[len(before) : -1])
+    return found
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """The union of spans as maximal runs in order."""
     order = np.argsort(starts, kind="stable")
@@ -218,17 +246,17 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _cutter(output: str) -> Callable:
+def _runs(spans: pa.ListScalar) -> list[tuple[int, int]]:
+    return merged(spans.values.field("a").to_numpy(), spans.values.field("b").to_numpy()) if spans.is_valid else []
+
+
+def _cutter(output: str, words: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], [], []]
             texts = batch.column("text").fill_null("").cast(pa.large_binary())
             for text, spans in zip(texts, batch.column("spans"), strict=True):
-                content = text.as_py()
-                runs = []
-                if spans.is_valid:
-                    pairs = spans.values
-                    runs = merged(pairs.field("a").to_numpy(), pairs.field("b").to_numpy())
+                content, runs = text.as_py(), _runs(spans)
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(content[at:a])
@@ -242,29 +270,44 @@ def _cutter(output: str) -> Callable:
             kind = pa.string() if output == "digest" else pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
             arrays = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], kind)]
             name = "kept_sha256" if output == "digest" else "spans"
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", name])
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", name]
+            if words:
+                arrays.append(pa.array([sum(b - a for a, b in _runs(spans)) for spans in batch.column("word_spans")], pa.int64()))
+                names.append("n_repeated_words")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, output: str = "spans") -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, output: str = "spans", words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and the removed spans or, with
     ``output`` "digest", kept_sha256 of the bytes that stay.
 
     A byte goes if a string of ``length`` bytes that covers it also starts at any other place of
     any text, its own included. A null text is empty. Texts shorter than ``length`` stay whole.
     Rows that repeat id and text are two documents. Other columns are ignored.
+
+    With ``words``, n_repeated_words follows: how many words of the whole text are covered by
+    ``words`` words in a row that also start at any other place. It tells passages that are too
+    short in bytes to go; nothing is removed for them. Words are parted by ASCII white space.
     """
     if not GRAM < length < 1 << BITS:
         raise ValueError(f"length must be between {GRAM} and {1 << BITS}")
+    if words is not None and not WORD_GRAM < words < 1 << BITS:
+        raise ValueError(f"words must be between {WORD_GRAM} and {1 << BITS}")
     text = whole("text")
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("ref"))
-    found = repeated_spans(known, length).groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    joined = known.join(found, "ref", "left").select("doc_id", "text", "spans")
+    found = span_lists(known, length, False, "spans")
+    columns = ["doc_id", "text", "spans"]
     last = "kept_sha256 string" if output == "digest" else "spans array<struct<a: long, b: long>>"
-    return joined.mapInArrow(_cutter(output), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    if words:
+        found = found.join(span_lists(known, words, True, "word_spans"), "ref", "full")
+        columns.append("word_spans")
+        last += ", n_repeated_words long"
+    joined = known.join(found, "ref", "left").select(columns)
+    return joined.mapInArrow(_cutter(output, words is not None), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
 
 
 @query("op7_radix_repeats")
 def op7(spark, sf_dir):
-    return cut_repeats(table(spark, sf_dir, "documents"), output="digest")
+    return cut_repeats(table(spark, sf_dir, "documents"), output="digest", words=51)

@@ -70,11 +70,15 @@ class SpanHash:
         return out
 
     def load(self, data: np.ndarray) -> SpanHash:
-        n = len(data)
+        return self.load_numbers(self.table[data])
+
+    def load_numbers(self, numbers: np.ndarray) -> SpanHash:
+        """As ``load``, for a row of any 64-bit numbers in place of bytes."""
+        n = len(numbers)
         if len(self.up) <= n:
             self.up, self.down = self._powers(self.base, n + 1), self._powers(self.inverse, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[:n], out=self.sums[1:])
+        np.cumsum(numbers * self.up[:n], out=self.sums[1:])
         return self
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

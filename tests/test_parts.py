@@ -67,3 +67,18 @@ def test_a_part_goes_when_it_is_stored(spark):
     few = staged_in_parts(table.limit(1), "some", "id")
     assert sorted(p.count() for p in few.values()) == [0, 0, 0, 1]
     drop_staged(spark, few)
+
+
+def test_wide_queries_do_not_shuffle_both_sides_whole(spark, given, monkeypatch):
+    def whole(d):
+        raise AssertionError("the whole table is joined at once")
+
+    monkeypatch.setattr(feature_queries, "score_table", whole)
+    monkeypatch.setattr(feature_queries, "_score_tables", lambda d: given)
+    d = SimpleNamespace(spark=spark, sf_dir="parts of a test")
+    alone = sorted(map(tuple, feature_queries.model_inputs(d).collect()))
+    n = feature_queries.score_table_checked(d)
+    assert n.count() == 90 and "Exchange" not in n._jdf.queryExecution().executedPlan().toString()
+    assert alone == sorted(map(tuple, feature_queries.model_inputs(d).collect()))
+    known = {(r["league"], r["feature"]): r["n"] for r in feature_queries.model_inputs(d).collect()}
+    assert known[("1-URGENT", "home_pts_scored_game_L5")] == 36 and known[("5-LOW", "home_pts_scored_game_L5")] == 54
